@@ -8,12 +8,18 @@ from __future__ import annotations
 
 import math
 
-from pyspark.sql import DataFrame
+import numpy as np
+import pyarrow as pa
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .common import written
 
 
+#: A row holds a whole tile and block, so Arrow batches hold few.
+PAIR_BATCH_ROWS = 2
+
+
 def vectors(df: DataFrame, id: str, vector: str) -> DataFrame:
     """(id long, v array<double>) of rows whose vectors are not null and hold no null and nothing that is not finite; null ids are dropped."""
     v = F.col(vector).cast("array<double>")
@@ -31,11 +37,32 @@ def tiles(rows: DataFrame, queries: DataFrame, tile_rows: int, query_rows: int)
     n, q = max(1, math.ceil(rows.count() / tile_rows)), max(1, math.ceil(queries.count() / query_rows))
     blocks = written(_dealt(queries, q, "block", queries.columns), "blocks")
     dealt = written(_dealt(rows, n, "tile", rows.columns), "tiles")
-    every = dealt.withColumn("block", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(q - 1).cast("long"))))
-    return every.repartition(n * q, "tile", "block").join(blocks, "block").select("tile", "block", "tile_rows", "block_rows")
+    number = lambda k: F.explode(F.sequence(F.lit(0).cast("long"), F.lit(k - 1).cast("long")))
+    left, right = dealt.withColumn("block", number(q)), blocks.withColumn("tile", number(n))
+    left = left.repartition(n * q, "tile", "block")
+    return left.join(right.repartition(n * q, "tile", "block"), ["tile", "block"]).select("tile", "block", "tile_rows", "block_rows")
+
+
+def matrix(rows: pa.ListScalar, field: str = "v") -> tuple[np.ndarray, np.ndarray]:
+    """(ids, vectors) of one tile or block; shorter vectors end in zeros."""
+    values = rows.values
+    ids, lists = values.field("id").to_numpy(zero_copy_only=False), values.field(field)
+    length = lists.value_lengths().to_numpy(zero_copy_only=False)
+    width = int(length.max()) if len(length) else 0
+    flat = lists.flatten().to_numpy(zero_copy_only=False)
+    if (length == width).all():
+        return ids, flat.reshape(len(ids), width)
+    out = np.zeros((len(ids), width))
+    out[np.arange(width) < length[:, None]] = flat
+    return ids, out
+
+
+def same_width(a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    w = max(a.shape[1], b.shape[1])
+    return tuple(x if x.shape[1] == w else np.pad(x, ((0, 0), (0, w - x.shape[1]))) for x in (a, b))
 
 
-def best(found: DataFrame, k: int, score: str) -> DataFrame:
-    """The k rows of largest score of each query_id, ties to smaller vec_id, with rank. Each tile sends at most k rows of a query."""
-    top = found.groupBy("query_id").agg(F.slice(F.sort_array(F.collect_list(F.struct(F.negate(score).alias("s"), "vec_id"))), 1, k).alias("top"))
-    return top.select("query_id", F.posexplode("top").alias("i", "x")).select("query_id", (F.col("i") + 1).cast("int").alias("rank"), F.col("x.vec_id").alias("vec_id"), F.negate(F.col("x.s")).alias(score))
+def best(found: DataFrame, k: int) -> DataFrame:
+    """(query_id, rank, vec_id, score): the k largest scores of each query, ties to smaller vec_id."""
+    order = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
+    return found.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k).select("query_id", F.col("rank").cast("int").alias("rank"), "vec_id", "score")

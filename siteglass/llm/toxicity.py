@@ -5,7 +5,7 @@ which of the chosen words, and beginnings of words, a text holds. The output is
 P(grade >= k), with the likeliest grade; a text is toxic if P(grade >= 1) is a half or more.
 
 Labels say only whether a text is toxic. Grade 0 is a clean text; toxic ones get grades 1 to 3 by thirds of
-the share of their words that mark toxic texts. Words are runs of letters, lower-cased. The model is fitted
+the number of features in them that mark toxic texts. Words are runs of letters, lower-cased. The model is fitted
 on at most SAMPLE_ROWS labelled texts (those of the smallest hashes of their ids; of texts
 whose word sets have the same four min-hashes, copies as a rule, one) and on the FEATURES words that tell the classes apart best in it; scoring covers every text.
 
@@ -120,16 +120,16 @@ def train(docs: DataFrame, labels: DataFrame, sample_rows: int = SAMPLE_ROWS) ->
         for b in batches:
             rows = b.column(1).to_pylist()
             found = [[index[w] for w in x or [] if w in index] for x in rows]
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.array([len(x or []) for x in rows], pa.int32()), pa.array(found, pa.list_(pa.int32()))], ["toxic", "n", "found"])
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(found, pa.list_(pa.int32()))], ["toxic", "found"])
 
-    data = sets.select("toxic", "words").mapInArrow(marks, "toxic int, n int, found array<int>").toArrow()  # at most sample_rows rows of chosen words
+    data = sets.select("toxic", "words").mapInArrow(marks, "toxic int, found array<int>").toArrow()  # at most sample_rows rows of chosen words
     found = data["found"].combine_chunks()
     per_row = found.value_lengths().to_numpy(zero_copy_only=False)
     word = found.flatten().to_numpy(zero_copy_only=False)
     row = np.repeat(np.arange(len(per_row)), per_row)
     bad = data["toxic"].to_numpy() > 0
-    share = np.bincount(row, marking[word], minlength=len(bad)) / np.maximum(1, data["n"].to_numpy())
-    grade = np.where(bad, 1 + np.searchsorted(np.quantile(share[bad], [1 / 3, 2 / 3]), share, "left"), 0)
+    number = np.bincount(row, marking[word], minlength=len(bad))
+    grade = np.where(bad, 1 + np.searchsorted(np.quantile(number[bad], [1 / 3, 2 / 3]), number, "left"), 0)
     weights, thresholds = fit(row, word, grade, len(index))
     return Model(index, weights, thresholds)
 

@@ -8,9 +8,14 @@ n1 = ceil((k + 1) / 2) parts, so some part holds at most one difference, and eac
 the three agree. Every set has a signature for each part and each two of its three, and sets that are
 similar enough share one. Signatures only find candidates; every link is checked on the whole sets.
 
+Parts that hold no member of a set would make all such sets candidates. A set with an empty signature
+leaves it out, and has the signatures of another partition of the domain as well: two sets that share only
+empty ones both do, so they meet there. The last of FAMILIES partitions keeps its empty signatures.
+
 Equal sets are one node. A group of sets with one signature is never expanded into all its pairs: each
 group's best connected member is checked against the others, groups that this joins up are done, and
-only groups that stay apart go on, small ones pair by pair, large ones member by member.
+of groups with the same members one goes on. Groups of up to GROUP_ROWS sets are then compared within a
+task, which sends on only pairs of different classes that may be similar; larger ones go on member by member.
 
 A null or empty text, or one of white space, has an empty set, size 0, and is its own component. Texts
 with fewer words than the width have one shingle, the whole sequence. Null ids are dropped; of rows with
@@ -19,6 +24,7 @@ the same id every text counts as that id's, and the id's largest set is the one
 
 from __future__ import annotations
 
+import functools
 from collections.abc import Iterator
 
 import numpy as np
@@ -32,12 +38,21 @@ from .wordhash import U, mix, shingle_sets
 
 #: A band's largest size is about this power of 100 / percent times its smallest.
 BAND_POWER = 3
-#: Groups of at most so many sets that are still apart after the first round are checked pair by pair.
-PAIRWISE = 40
+#: Groups of at most so many sets that are still apart after the first round are compared in one task each.
+GROUP_ROWS = 2000
+#: Partitions of the domain that are tried for sets with empty parts.
+FAMILIES = 4
+#: Parts of the domain in which members are counted before sets are compared.
+SPREAD = 128
 #: Set keys that a task remembers, so that copies in one task send their signatures once.
 SEEN = 500_000
 
 
+@functools.cache
+def all_of(percent: int) -> list[tuple[int, int]]:
+    return bands(percent, 2**40)
+
+
 def bands(percent: int, most: int) -> list[tuple[int, int]]:
     """(smallest, largest) size of each band, up to most."""
     out, low = [], 1
@@ -55,23 +70,30 @@ def set_key(s: np.ndarray) -> int:
 def signatures(s: np.ndarray, percent: int) -> np.ndarray:
     """PartEnum signatures of a sorted set of hashes."""
     n, out = len(s), []
-    all_bands = bands(percent, 100 * n // percent)
-    i = next((i for i, (low, high) in enumerate(all_bands) if low <= n <= high), None)
-    if i is None:
+    all_bands = all_of(percent)
+    if not n:
         return np.zeros(0, U)
-    total = np.concatenate([np.zeros(1, U), np.cumsum(mix(s ^ U(0xA24BAED4963EE407)))])
+    i = next(i for i, (_, high) in enumerate(all_bands) if n <= high)
     for band in (i, i + 1) if 100 * n // percent > all_bands[i][1] else (i,):
         high = all_bands[band][1]
         k = 2 * high * (100 - percent) // (100 + percent)
         if not k:
             continue
         n1 = k // 2 + 1
-        part = (s >> U(32)) * U(3 * n1) >> U(32)
-        at = np.searchsorted(part, np.arange(3 * n1 + 1, dtype=U))
-        sums = mix(total[at[1:]] - total[at[:-1]]).reshape(n1, 3)
-        pair = np.stack([sums[:, 0] + sums[:, 1] * U(3), sums[:, 0] + sums[:, 2] * U(5), sums[:, 1] + sums[:, 2] * U(7)], 1)
-        which = np.arange(3 * n1, dtype=U).reshape(n1, 3) + U(band * 1_000_003 << 20)
-        out.append(mix(pair + mix(which)).ravel())
+        for family in range(FAMILIES):
+            h = s if not family else np.sort(mix(s + U(family)))
+            total = np.concatenate([np.zeros(1, U), np.cumsum(mix(h ^ U(0xA24BAED4963EE407)))])
+            part = (h >> U(32)) * U(3 * n1) >> U(32)
+            at = np.searchsorted(part, np.arange(3 * n1 + 1, dtype=U))
+            size = np.diff(at).reshape(n1, 3)
+            sums = mix(total[at[1:]] - total[at[:-1]]).reshape(n1, 3)
+            pair = np.stack([sums[:, 0] + sums[:, 1] * U(3), sums[:, 0] + sums[:, 2] * U(5), sums[:, 1] + sums[:, 2] * U(7)], 1)
+            which = np.arange(3 * n1, dtype=U).reshape(n1, 3) + (U(band * FAMILIES + family) << U(40))
+            empty = np.stack([size[:, 0] + size[:, 1], size[:, 0] + size[:, 2], size[:, 1] + size[:, 2]], 1) == 0
+            keep = ~empty if family < FAMILIES - 1 else np.ones_like(empty)
+            out.append(mix(pair + mix(which))[keep])
+            if not empty.any():
+                break
     return np.concatenate(out) if out else np.zeros(0, U)
 
 
@@ -143,11 +165,66 @@ def _shared(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def links(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
-    """Of pairs (a, b), those whose sets (id, members) are similar enough."""
-    left = sets.select(F.col("id").alias("a"), F.col("members").alias("s"))
-    right = sets.select(F.col("id").alias("b"), F.col("members").alias("t"))
+    """Of pairs (a, b), those whose sets (id, spread, members) are similar enough.
+
+    spread counts members by parts of the domain. The Hamming distance of two sets is at least the sum of
+    the differences of their counts, so most pairs that are not similar go before whole sets are joined.
+    """
+    spread, members = sets.select("id", "spread"), sets.select("id", "members")
+    apart = F.aggregate(F.zip_with("u", "v", lambda x, y: F.abs(x.cast("int") - y)), F.lit(0), lambda x, y: x + y)
+    total = F.aggregate("u", F.lit(0), lambda x, y: x + y) + F.aggregate("v", F.lit(0), lambda x, y: x + y)
+    near = pairs.join(spread.toDF("a", "u"), "a").join(spread.toDF("b", "v"), "b")
+    near = written(near.where(apart * (100 + percent) <= total * (100 - percent)).select("a", "b"), "near")
     both = F.size(F.array_intersect("s", "t"))
-    return pairs.join(left, "a").join(right, "b").where(both * 100 >= (F.size("s") + F.size("t") - both) * percent).select("a", "b")
+    found = near.join(members.toDF("a", "s"), "a").join(members.toDF("b", "t"), "b")
+    return found.where(both * 100 >= (F.size("s") + F.size("t") - both) * percent).select("a", "b")
+
+
+def _one_of_equals(members: DataFrame) -> DataFrame:
+    """Of members (id, sig, n, label) those of groups with several labels, each group of the same ids once, with its number of rows."""
+    groups = members.groupBy("sig").agg(F.count("*").alias("rows"), F.min("label").alias("lo"), F.max("label").alias("hi"), F.bit_xor(F.xxhash64("id")).alias("x"), F.bit_xor(F.xxhash64("id", F.lit(1))).alias("y"))
+    kept = written(groups.where("lo <> hi").groupBy("rows", "x", "y").agg(F.min("sig").alias("sig")).select("sig", "rows"), "kept")
+    return written(members.join(kept, "sig").select("id", "sig", "n", "label", "rows"), "members")
+
+
+def _near_pairs(percent: int):
+    """A function over rows (sig, id, label, spread) sorted by sig: pairs of a group that differ in label and may be similar by their spreads."""
+
+    def pairs(label: np.ndarray, spread: np.ndarray) -> Iterator[tuple[int, np.ndarray]]:
+        size = spread.sum(1, dtype=np.int64)
+        for i in range(len(label) - 1):
+            apart = np.abs(spread[i + 1 :] - spread[i]).sum(1, dtype=np.int64)
+            ok = (label[i + 1 :] != label[i]) & (apart * (100 + percent) <= (size[i + 1 :] + size[i]) * (100 - percent))
+            if ok.any():
+                yield i, np.flatnonzero(ok) + i + 1
+
+    def of_group(rows: list[tuple[np.ndarray, ...]]) -> Iterator[pa.RecordBatch]:
+        id, label, spread = (np.concatenate(x) for x in zip(*rows, strict=True))
+        spread = spread.reshape(len(id), -1)
+        size = spread.sum(1, dtype=np.int64)
+        found = list(pairs(label, spread))
+        if found:
+            i = np.repeat([x for x, _ in found], [len(y) for _, y in found])
+            j = np.concatenate([y for _, y in found])
+            yield pa.RecordBatch.from_arrays([pa.array(id[i]), pa.array(size[i]), pa.array(id[j]), pa.array(size[j])], ["a", "na", "b", "nb"])
+
+    def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: list[tuple[np.ndarray, ...]] = []
+        now = None
+        for b in batches:
+            sig, id, label = (b.column(k).to_numpy(zero_copy_only=False) for k in range(3))
+            spread = b.column(3).flatten().to_numpy(zero_copy_only=False).reshape(len(sig), -1)
+            cut = [0, *(np.flatnonzero(sig[1:] != sig[:-1]) + 1).tolist(), len(sig)]
+            for x, y in zip(cut, cut[1:], strict=False):
+                if held and sig[x] != now:
+                    yield from of_group(held)
+                    held = []
+                now = sig[x]
+                held.append((id[x:y], label[x:y], spread[x:y].ravel()))
+        if held:
+            yield from of_group(held)
+
+    return work
 
 
 def similarity_classes(docs: DataFrame, width: int, percent: int, id: str = "doc_id", text: str = "text") -> DataFrame:
@@ -158,50 +235,49 @@ def similarity_classes(docs: DataFrame, width: int, percent: int, id: str = "doc
     whole = written(_sets(docs, width), "sets")
     nodes = written(whole.where("key is not null").groupBy("key").agg(F.min("doc_id").alias("id"), F.first("n_shingles").alias("n")), "nodes")
     shared = _signed(docs, width, percent).repartition("sig").sortWithinPartitions("sig", "key").mapInArrow(_shared, "sig long, key long")
-    groups = written(written(shared, "shared").join(nodes, "key").select("sig", "id", "n"), "groups")
+    groups = written(written(shared, "shared").join(nodes, "key").select("sig", "id", "n", "key"), "groups")
 
     # sets of the documents that may have a partner
-    wanted = written(groups.select("id").distinct(), "wanted")
+    wanted = written(groups.select("id", "key").distinct(), "wanted")
 
     def members(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            rows = [s.view(np.int64) for _, s in shingle_sets(b.column(1), width)]
-            off = np.concatenate([[0], np.cumsum([len(r) for r in rows])]).astype(np.int32)
-            flat = pa.array(np.concatenate(rows) if rows else np.zeros(0, np.int64))
-            keys = pa.array([set_key(r.view(U)) if len(r) else None for r in rows], pa.int64())
-            yield pa.RecordBatch.from_arrays([keys, pa.ListArray.from_arrays(pa.array(off), flat)], ["key", "members"])
-
-    some = docs.join(checked_broadcast(wanted.withColumnRenamed("id", "doc_id")), "doc_id", "left_semi")
-    sets = written(some.mapInArrow(members, "key long, members array<long>").join(nodes, "key").groupBy("id").agg(F.first("members").alias("members")), "members")
-
-    found, labels = None, None
-    rest = groups
-    first = True
+            keys = b.column(2).to_numpy(zero_copy_only=False)
+            found = [(r, s) for r, s in shingle_sets(b.column(1), width) if len(s) and set_key(s) == keys[r]]
+            if found:
+                rows, sets = zip(*found, strict=True)
+                spread = np.stack([np.bincount((s >> U(20)).astype(np.int64) & (SPREAD - 1), minlength=SPREAD) for s in sets]).astype(np.int32)
+                lists = [pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum(n)]).astype(np.int32)), pa.array(flat)) for n, flat in (([SPREAD] * len(rows), spread.ravel()), ([len(s) for s in sets], np.concatenate(sets).view(np.int64)))]
+                yield pa.RecordBatch.from_arrays([b.column(0).take(pa.array(rows)), *lists], ["id", "spread", "members"])
+
+    some = docs.join(checked_broadcast(wanted.withColumnRenamed("id", "doc_id")), "doc_id").select("doc_id", "text", "key")
+    sets = written(some.mapInArrow(members, "id long, spread array<int>, members array<long>"), "members")
+
+    labels = None
+    rest = _one_of_equals(groups.select("id", "sig", "n", F.col("id").alias("label"))).drop("rows")
     while True:
-        if not first:
-            named = rest.join(labels, "id", "left").withColumn("label", F.coalesce("root", "id")).drop("root")
-            apart = written(named.groupBy("sig").agg(F.count("*").alias("rows"), F.min("label").alias("lo"), F.max("label").alias("hi")).where("lo <> hi").select("sig", "rows"), "apart")
-            rest = written(named.join(apart, "sig"), "rest")
-            if not rest.limit(1).count():
+        named = rest
+        if labels is not None:
+            named = rest.drop("label").join(labels, "id", "left").withColumn("label", F.coalesce("root", "id")).drop("root")
+            named = _one_of_equals(named)
+            if not named.limit(1).count():
                 break
-            small = rest.where(F.col("rows") <= PAIRWISE)
-            x, y = small.select("sig", F.col("id").alias("a"), F.col("n").alias("na"), F.col("label").alias("la")), small.select("sig", F.col("id").alias("b"), F.col("n").alias("nb"), F.col("label").alias("lb"))
-            pairs = x.join(y, "sig").where("a < b and la <> lb")
-            rest = rest.where(F.col("rows") > PAIRWISE).select("sig", "id", "n")
-        degree = written(rest.groupBy("id").agg(F.count("*").alias("d")), "degree")
-        with_degree = written(rest.join(degree, "id"), "ranked")
-        pivot = written(with_degree.groupBy("sig").agg(F.max(F.struct("d", F.negate("id").alias("i"), F.struct("id", "n").alias("p"))).alias("m")).select("sig", F.col("m.p.id").alias("pivot"), F.col("m.p.n").alias("pn")), "pivot")
-        starred = with_degree.join(pivot, "sig").where("id <> pivot")
-        star = starred.select(F.col("pivot").alias("a"), F.col("pn").alias("na"), F.col("id").alias("b"), F.col("n").alias("nb"))
-        pairs = star if first else star.unionByName(pairs.select("a", "na", "b", "nb"))
+            whole_groups, named = named.where(F.col("rows") <= GROUP_ROWS), named.where(F.col("rows") > GROUP_ROWS).drop("rows")
+            pairs = whole_groups.select("id", "sig", "label").join(sets.select("id", "spread"), "id").repartition("sig").sortWithinPartitions("sig").select("sig", "id", "label", "spread")
+            pairs = pairs.mapInArrow(_near_pairs(percent), "a long, na long, b long, nb long")
+        # each group's member that is in most groups is checked against the members of other classes, and leaves
+        degree = written(named.groupBy("id").agg(F.count("*").alias("d")), "degree")
+        ranked = written(named.join(degree, "id"), "ranked")
+        pivot = ranked.groupBy("sig").agg(F.max(F.struct("d", F.negate("id").alias("i"), F.struct("id", "n", "label").alias("p"))).alias("m"))
+        pivot = written(pivot.select("sig", F.col("m.p.id").alias("pivot"), F.col("m.p.n").alias("pn"), F.col("m.p.label").alias("pl")), "pivot")
+        starred = ranked.join(pivot, "sig").where("id <> pivot")
+        star = starred.where("label <> pl").select(F.col("pivot").alias("a"), F.col("pn").alias("na"), F.col("id").alias("b"), F.col("n").alias("nb"))
+        pairs = star if labels is None else star.unionByName(pairs)
         fit = pairs.where(F.least("na", "nb") * 100 >= F.greatest("na", "nb") * percent)
         fit = written(fit.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct(), "pairs")
-        new = written(links(fit, sets, percent), "links")
-        found = new if found is None else written(found.unionByName(new), "links")
-        labels = written(components(found), "labels")
-        rest = starred.select("sig", "id", "n")  # whatever was checked against every other member goes
-        rest = written(rest, "rest")
-        first = False
+        found = written(links(fit, sets, percent), "links")
+        labels = written(components(found if labels is None else found.unionByName(labels.toDF("a", "b"))), "labels")
+        rest = written(starred.select("id", "sig", "n", "label"), "left")
 
     roots = written(nodes.join(labels, "id", "left").select("key", F.coalesce("root", "id").alias("root")), "roots")
     merged = whole.join(roots, "key", "left").select("doc_id", "n_shingles", F.coalesce("root", "doc_id").alias("component_id"))

@@ -48,7 +48,7 @@ def brand_hit(x: Column, names: list[str]) -> Column:
 
 
 def directives(x: Column) -> Column:
-    return F.array_sort(F.array_distinct(F.filter(F.transform(F.split(F.lower(x), ","), F.trim), lambda v: v != "")))
+    return F.array_sort(F.array_distinct(F.filter(F.transform(F.split(F.lower(x), ","), lambda v: F.trim(v)), lambda v: v != "")))
 
 
 def agent_token(x: Column) -> Column:

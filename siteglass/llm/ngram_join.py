@@ -8,9 +8,11 @@ n1 = ceil((k + 1) / 2) parts, so some part holds at most one difference, and eac
 the three agree. Every set has a signature for each part and each two of its three, and sets that are
 similar enough share one. Signatures only find candidates; every link is checked on the whole sets.
 
-Parts that hold no member of a set would make all such sets candidates. A set with an empty signature
-leaves it out, and has the signatures of another partition of the domain as well: two sets that share only
-empty ones both do, so they meet there. The last of FAMILIES partitions keeps its empty signatures.
+Parts that hold no member of a set would make all such sets candidates, so empty signatures are left out.
+For that the domain has spare(n1) parts more than needed: similar sets then agree in one part more than
+these, and share a signature that is not empty unless both have empty ones in more parts than that. Such
+sets have the signatures of another partition of the domain as well, and meet there. The last of FAMILIES
+partitions keeps its empty signatures.
 
 Equal sets are one node. A group of sets with one signature is never expanded into all its pairs: each
 group's best connected member is checked against the others, groups that this joins up are done, and
@@ -63,6 +65,11 @@ def bands(percent: int, most: int) -> list[tuple[int, int]]:
     return out
 
 
+def spare(parts: int) -> int:
+    """Parts beyond those needed, in which a set may have empty signatures."""
+    return 1 + parts // 10
+
+
 def set_key(s: np.ndarray) -> int:
     return int((mix(mix(s).sum(dtype=U, keepdims=True) + U(len(s)))).astype(np.int64)[0])
 
@@ -80,6 +87,8 @@ def signatures(s: np.ndarray, percent: int) -> np.ndarray:
         if not k:
             continue
         n1 = k // 2 + 1
+        most_empty = spare(n1)
+        n1 += most_empty
         for family in range(FAMILIES):
             h = s if not family else np.sort(mix(s + U(family)))
             total = np.concatenate([np.zeros(1, U), np.cumsum(mix(h ^ U(0xA24BAED4963EE407)))])
@@ -92,7 +101,7 @@ def signatures(s: np.ndarray, percent: int) -> np.ndarray:
             empty = np.stack([size[:, 0] + size[:, 1], size[:, 0] + size[:, 2], size[:, 1] + size[:, 2]], 1) == 0
             keep = ~empty if family < FAMILIES - 1 else np.ones_like(empty)
             out.append(mix(pair + mix(which))[keep])
-            if not empty.any():
+            if empty.any(1).sum() <= most_empty:
                 break
     return np.concatenate(out) if out else np.zeros(0, U)
 
@@ -234,7 +243,9 @@ def similarity_classes(docs: DataFrame, width: int, percent: int, id: str = "doc
     docs = docs.select(F.col(id).cast("long").alias("doc_id"), F.col(text).alias("text")).where("doc_id is not null")
     whole = written(_sets(docs, width), "sets")
     nodes = written(whole.where("key is not null").groupBy("key").agg(F.min("doc_id").alias("id"), F.first("n_shingles").alias("n")), "nodes")
-    shared = _signed(docs, width, percent).repartition("sig").sortWithinPartitions("sig", "key").mapInArrow(_shared, "sig long, key long")
+    # copies of a text have one set, so one of them is signed
+    first = docs.join(checked_broadcast(nodes.select(F.col("id").alias("doc_id"))), "doc_id").select("doc_id", "text")
+    shared = _signed(first, width, percent).repartition("sig").sortWithinPartitions("sig", "key").mapInArrow(_shared, "sig long, key long")
     groups = written(written(shared, "shared").join(nodes, "key").select("sig", "id", "n", "key"), "groups")
 
     # sets of the documents that may have a partner

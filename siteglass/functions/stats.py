@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-Z = 1.96
+Z = 1.959963984540054
 
 
 def rate(hits: Column, known: Column) -> Column:

@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from .functions import text, urls
 from .functions.stats import wilson_sql
 from .operators import audit, measure
+from .plans import more
 from .sources.tables import ENGINES, OBSERVATIONS_SQL, observations, table
 
 FLAGSHIP = "a04_rates"
@@ -223,3 +224,7 @@ def t08_length_verdict(spark: SparkSession, sf_dir: str) -> DataFrame:
 def j15_robots(spark: SparkSession, sf_dir: str) -> DataFrame:
     rules = [("/en/", False), ("/en/1*", True)]
     return table(spark, sf_dir, "pages").select("page_id", audit.allowed(urls.part(F.col("url"), 3), rules).alias("allowed"))
+
+
+QUERIES |= more.QUERIES
+ORACLES |= more.ORACLES

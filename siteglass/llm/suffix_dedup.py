@@ -74,28 +74,32 @@ def repeated_starts(text: np.ndarray, ends: np.ndarray, length: int) -> np.ndarr
     text holds bytes with one separator after each window, at the positions ends.
     """
     n = len(text)
-    order, rank = _suffixes(text, ends)
-    # LF: row of the suffix that starts one byte earlier; F-column order is the order of first symbols
+    order, _ = _suffixes(text, ends)
     place = np.empty(n, np.int64)
     place[order] = np.arange(n)
-    follow = place[np.minimum(order + 1, n - 1)]  # psi: row of the suffix without its first symbol
+    follow = place[np.minimum(order + 1, n - 1)]  # row of the suffix without its first symbol
     first = text.astype(np.int32)
     first[ends] = 256 + np.arange(len(ends))
     symbol = first[order]
     # depth 1: a boundary where the first symbol changes
-    fresh = np.ones(n, bool)
-    fresh[1:] = symbol[1:] != symbol[:-1]
-    boundary = fresh.copy()
-    active = np.flatnonzero(~boundary)
-    group = np.cumsum(boundary)
+    boundary = np.ones(n, bool)
+    boundary[1:] = symbol[1:] != symbol[:-1]
+    fresh = np.flatnonzero(boundary)
+    # rows i - 1 and i with one first symbol part at depth d + 1 if a boundary of depth d lies above follow[i - 1], up to
+    # follow[i]; that is follow[i] alone where these are neighbours, as in all but the first row of a run of the transform
+    near = np.zeros(n, bool)
+    near[1:] = ~boundary[1:] & (follow[1:] == follow[:-1] + 1)
+    wide = np.flatnonzero(~boundary & ~near)
     for _ in range(1, length):
-        if not len(active):
+        if not len(fresh):
             break
-        split = group[follow[active]] != group[follow[active - 1]]
-        if split.any():
-            boundary[active[split]] = True
-            active = active[~split]
-            group = np.cumsum(boundary)
+        back = place[order[fresh[order[fresh] > 0]] - 1]  # backward extension of the intervals that begin here
+        back = back[near[back] & ~boundary[back]]
+        hit = np.searchsorted(fresh, follow[wide], "right") > np.searchsorted(fresh, follow[wide - 1], "right")
+        fresh = np.sort(np.concatenate([back, wide[hit]]))
+        boundary[fresh] = True
+        wide = wide[~hit]
+    active = np.flatnonzero(~boundary)
     same = np.zeros(n, bool)
     same[active] = True
     same[active - 1] = True

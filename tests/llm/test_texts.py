@@ -192,6 +192,16 @@ def test_language_model_odd_inputs(spark):
     assert attention_lm.scores(no_docs(spark)).count() == 0
 
 
+def test_language_model_learns_from_texts_of_any_length_and_number(spark):
+    """Words of which one training text beyond the former bounds (500,000 bytes; 2,000 texts) says what follows them."""
+    new = [i for i in range(100) if held_out(i)][:2]
+    known = [i for i in range(10_000) if not held_out(i)][:2400]
+    rows = [(known[0], "seven winters passed " * 30_000), (new[0], "seven winters passed " * 20)]
+    rows += [(i, f"{'green hills' if k < 1200 else 'quiet rivers'} number {i % 7}") for k, i in enumerate(known[1:])] + [(new[1], "other words here " * 20)]
+    got = {r.doc_id: r.score / r.n_tokens for r in attention_lm.scores(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert got[new[0]] > -0.5 > got[new[1]]
+
+
 def test_attention_learns_what_pairs_do_not_show():
     """Ids that follow from the one two places back: counts of neighbours say nothing about them, attention must find it."""
     import numpy as np

@@ -10,7 +10,8 @@ candidates of every tile are scored again exactly, in double precision, componen
 Nearness is the inner product ("ip") or the squared distance ("l2", which uses the stored norms; its score
 is the negative distance). Vectors that are null or zero, or hold nulls or values that are not finite,
 take no part; shorter vectors end in zeros. Rows with the same id are separate candidates, and a query
-never finds rows with its own id. Ties go to the smaller id. An empty table gives no rows.
+never finds rows with its own id. Equal vectors have equal codes, which cannot tell them apart: they are indexed
+as one, which holds the k + 1 smallest of their ids, and expanded when found. Ties go to the smaller id. An empty table gives no rows.
 """
 
 from __future__ import annotations
@@ -19,7 +20,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from .common import table, written
@@ -83,24 +84,47 @@ def fit(x: np.ndarray, books: int = BOOKS, words: int = WORDS, rounds: int = 4,
     return np.linalg.solve(gram + np.eye(len(gram), dtype=np.float32) * 0.1, right + 0.1 * out.reshape(len(gram), -1)).reshape(out.shape).astype(np.float32)
 
 
+def distinct(rows: DataFrame, k: int) -> DataFrame:
+    """(id, v, members) of every different vector of rows (id, v), none of them zero: members are the rows' ids in order, those
+    of the k + 1 smallest and each at most k times, so k are left to a query that may not find its own; id is the first."""
+    v = F.transform("v", lambda x: x + 0.0)  # no -0.0
+    last = F.size("v") - F.array_position(F.transform(F.reverse("v"), lambda x: x != 0), True) + 1
+    rows = rows.withColumn("v", v).withColumn("v", F.slice("v", F.lit(1), last.cast("int")))
+    ids = rows.groupBy("id", "v").agg(F.least(F.count("*"), F.lit(k)).cast("int").alias("n"))
+    # tasks keep k + 1 rows of each vector before they send them
+    few = ids.withColumn("place", F.row_number().over(Window.partitionBy("v").orderBy("id"))).where(F.col("place") <= k + 1)
+    members = F.sort_array(F.flatten(F.collect_list(F.array_repeat("id", F.col("n")))))
+    return few.groupBy("v").agg(members.alias("members")).select(F.col("members")[0].alias("id"), "v", "members")
+
+
 def index(rows: DataFrame, books: np.ndarray) -> DataFrame:
-    """rows (id, v) with codes (binary) and norm, the squared norm of the approximation."""
+    """rows (id, v, members) with codes (binary) and norm, the squared norm of the approximation."""
     width = books.shape[2]
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            ids, x = matrix(pa.scalar(pa.StructArray.from_arrays(b.columns, ["id", "v"]).to_pylist(), pa.list_(pa.struct([("id", pa.int64()), ("v", pa.list_(pa.float64()))]))))
+            ids, x = matrix(pa.scalar(pa.StructArray.from_arrays(b.columns[:2], ["id", "v"]).to_pylist(), pa.list_(pa.struct([("id", pa.int64()), ("v", pa.list_(pa.float64()))]))))
             x = np.pad(x, ((0, 0), (0, max(0, width - x.shape[1]))))[:, :width].astype(np.float32)
             codes = np.concatenate([encode(x[i : i + 2048], books) for i in range(0, len(x), 2048)]) if len(x) else np.zeros((0, len(books)), np.uint8)
             norm = (decode(codes, books).astype(np.float64) ** 2).sum(1) if len(x) else np.zeros(0)
-            yield pa.RecordBatch.from_arrays([*b.columns, pa.array([c.tobytes() for c in codes], pa.binary()), pa.array(norm)], ["id", "v", "codes", "norm"])
+            yield pa.RecordBatch.from_arrays([*b.columns, pa.array([c.tobytes() for c in codes], pa.binary()), pa.array(norm)], ["id", "v", "members", "codes", "norm"])
+
+    return rows.mapInArrow(work, "id long, v array<double>, members array<long>, codes binary, norm double")
 
-    return rows.mapInArrow(work, "id long, v array<double>, codes binary, norm double")
 
+def nearest_in_tile(members: np.ndarray, ends: np.ndarray, x: np.ndarray, codes: np.ndarray, norm: np.ndarray, query_ids: np.ndarray, q: np.ndarray, books: np.ndarray, k: int, reranked: int, measure: str) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+    """(query ids, row ids, scores) of each query's k best rows among the reranked.
 
-def nearest_in_tile(ids: np.ndarray, x: np.ndarray, codes: np.ndarray, norm: np.ndarray, query_ids: np.ndarray, q: np.ndarray, books: np.ndarray, k: int, reranked: int, measure: str) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
-    """(query ids, row ids, scores) of each query's k best rows among the reranked."""
+    Row i of x stands for the ids members[ends[i - 1] : ends[i]], in order.
+    """
     m, w, d = books.shape
+    begins = np.concatenate([[0], ends[:-1]]).astype(np.int64)
+    sizes = ends - begins
+    ids, none = members[begins], np.iinfo(np.int64).max
+    # the smallest id of a row that is not its first, and whether there is one
+    others = members != np.repeat(ids, sizes)
+    second = np.minimum.reduceat(np.where(others, members, none), begins) if len(begins) else ids
+    single = ~np.logical_or.reduceat(others, begins) if len(begins) else ids == 0
     flat = books.reshape(m * w, d)
     for at in range(0, len(q), 64):
         own, some = query_ids[at : at + 64], q[at : at + 64]
@@ -110,7 +134,7 @@ def nearest_in_tile(ids: np.ndarray, x: np.ndarray, codes: np.ndarray, norm: np.
             near += lookup[:, b, :].take(codes[:, b], axis=1)
         if measure == "l2":
             near = 2 * near - norm[None, :].astype(np.float32)
-        near[own[:, None] == ids[None, :]] = -np.inf
+        near[(own[:, None] == ids[None, :]) & single] = -np.inf
         r = min(reranked, len(ids))
         pick = np.argpartition(-near, r - 1, axis=1)[:, :r] if r < len(ids) else np.tile(np.arange(r), (len(own), 1))
         pick.sort(axis=1)
@@ -119,16 +143,28 @@ def nearest_in_tile(ids: np.ndarray, x: np.ndarray, codes: np.ndarray, norm: np.
             term = x[:, c][pick]
             score += term * some[:, c : c + 1] if measure == "ip" else -((term - some[:, c : c + 1]) ** 2)
         score[np.take_along_axis(near, pick, 1) == -np.inf] = -np.inf
-        order = np.lexsort((ids[pick], -score), axis=1)[:, :k]
+        least = np.where(ids[pick] == own[:, None], second[pick], ids[pick])
+        order = np.lexsort((least, -score), axis=1)[:, :k]
         score, rows = np.take_along_axis(score, order, 1), np.take_along_axis(pick, order, 1)
         ok = score > -np.inf
-        yield np.repeat(own, ok.sum(1)), ids[rows][ok], score[ok]
+        rows, query, score = rows[ok], np.repeat(np.arange(len(own)), ok.sum(1)), score[ok]
+        # every member of the rows, and of these the first k of each query
+        n = sizes[rows]
+        query, score = np.repeat(query, n), np.repeat(score, n)
+        found = members[np.arange(len(query)) + np.repeat(begins[rows] - (np.cumsum(n) - n), n)]
+        other = found != own[query]
+        query, score, found = query[other], score[other], found[other]
+        order = np.lexsort((found, -score, query))
+        query, score, found = query[order], score[order], found[order]
+        first = np.arange(len(query)) - np.searchsorted(query, query) < k
+        yield own[query[first]], found[first], score[first]
 
 
 def nearest(rows: DataFrame, queries: DataFrame, k: int, measure: str = "ip", tile_rows: int = TILE_ROWS, query_rows: int = QUERY_ROWS, reranked: int = RERANKED, sample_rows: int = SAMPLE_ROWS) -> DataFrame:
     """(query_id, rank, vec_id, score) of each query's k nearest rows found; rows and queries are (id, v)."""
     spark = rows.sparkSession
     rows, queries = (df.where(F.exists("v", lambda x: x != 0)) for df in (rows, queries))
+    rows = written(distinct(rows, k), "distinct")
     sample = rows.orderBy(F.xxhash64("id"), "id").limit(sample_rows).toArrow()
     ids = pa.scalar([{"id": i, "v": v} for i, v in zip(sample["id"].to_pylist(), sample["v"].to_pylist(), strict=True)], pa.list_(pa.struct([("id", pa.int64()), ("v", pa.list_(pa.float64()))])))
     books = fit(matrix(ids)[1])
@@ -140,10 +176,12 @@ def nearest(rows: DataFrame, queries: DataFrame, k: int, measure: str = "ip", ti
         for batch in batches:
             for t, b in zip(batch.column(0), batch.column(1), strict=True):
                 (ids, x), (query_ids, q) = matrix(t), matrix(b)
+                lists = t.values.field("members")
+                members, ends = lists.flatten().to_numpy(), np.cumsum(lists.value_lengths().to_numpy())
                 x, q = same_width(x, q)
                 codes = np.frombuffer(b"".join(t.values.field("codes").to_pylist()), np.uint8).reshape(len(ids), -1)
                 norm = t.values.field("norm").to_numpy(zero_copy_only=False)
-                for found in nearest_in_tile(ids, x, codes, norm, query_ids, q, books, k, reranked, measure):
+                for found in nearest_in_tile(members, ends, x, codes, norm, query_ids, q, books, k, reranked, measure):
                     yield pa.RecordBatch.from_arrays([pa.array(c) for c in found], ["query_id", "vec_id", "score"])
 
     pairs = tiles(stored, written(queries, "queries"), tile_rows, query_rows)

@@ -163,6 +163,22 @@ def test_additive_odd_inputs(spark):
     assert additive_ann.nearest(rows.where("false"), rows.where("false"), 3).count() == 0
 
 
+def test_additive_search_among_copies(spark):
+    """A third of more rows than a tile holds are copies: of these the smallest ids must be found, also by copies themselves."""
+    rng = np.random.default_rng(8)
+    m = rng.integers(-8, 9, (9000, 16)) / 8
+    m[np.arange(9000) % 3 == 1] = m[1]
+    m[0], m[300] = m[1] + 0.125, m[1] * 2
+    rows = spark.createDataFrame([(i, v) for i, v in enumerate(m.tolist())] + [(301, [*m[1].tolist(), 0.0])] * 2, "id long, v array<double>")
+    got = {(r.query_id, r.vec_id) for r in additive_ann.nearest(rows, rows.where("id % 300 = 0 or id in (1, 4)"), 20).collect()}
+    queries = [q for q in range(9000) if q % 300 == 0 or q in (1, 4)]
+    ids, m = np.append(np.arange(9000), [301, 301]), np.vstack([m, m[1], m[1]])
+    want = {q: {i for _, i in [x for x in sorted(zip((-(m @ m[q])).tolist(), ids.tolist(), strict=True)) if x[1] != q][:20]} for q in queries}
+    recall = {q: len(w & {i for a, i in got if a == q}) / len(w) for q, w in want.items()}
+    assert all(recall[q] == 1 for q in (0, 1, 4, 300)), recall
+    assert sum(recall.values()) / len(recall) >= 0.9
+
+
 def test_minimum_cut_is_minimal():
     rng = np.random.default_rng(4)
     for n in range(1, 9):

@@ -38,10 +38,12 @@ def without_repeats(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
 
 def mixed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Every document once for each pass that takes it, in training order."""
-    taken = curriculum.curriculum(docs).where(F.size("positions") > 0).groupBy("doc_id").agg(F.first("positions").alias("positions"))
-    taken = written(taken, "taken")
-    rows = docs.join(checked_broadcast(taken), "doc_id").withColumn("position", F.explode("positions"))
-    return rows.repartitionByRange("position", "doc_id").sortWithinPartitions("position", "doc_id").select(docs.columns)
+    # ids can be null or repeat, so rows are told apart by numbers of their own, which stay once they are written
+    numbered = written(docs.withColumn("_row", F.monotonically_increasing_id()), "numbered")
+    taken = written(curriculum.curriculum(numbered, keep=("_row",)).where(F.size("positions") > 0).select("_row", "positions"), "taken")
+    rows = numbered.join(checked_broadcast(taken), "_row").withColumn("position", F.explode("positions"))
+    order = ["position", "doc_id", "_row"]
+    return rows.repartitionByRange(*order).sortWithinPartitions(*order).select(docs.columns)
 
 
 def encoded(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

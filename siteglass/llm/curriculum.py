@@ -80,9 +80,9 @@ def targets(sources: DataFrame, budget: float, most: float) -> DataFrame:
         full = F.col("full")
 
 
-def curriculum(docs: DataFrame, weights: tuple[int, ...] = WEIGHTS, schedules: tuple = SCHEDULES, budget: float = 1.5, most: float = 2.0, text: str = "text") -> DataFrame:
-    """(doc_id, size, source_size, target, taken, positions), range-sorted by first position; see above."""
-    sized = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("source").cast("string").isNull().alias("none"), F.coalesce(F.col("source").cast("string"), F.lit("")).alias("source"), F.coalesce(F.regexp_count(F.col(text), F.lit(WORD)), F.lit(0)).cast("long").alias("size"))
+def curriculum(docs: DataFrame, weights: tuple[int, ...] = WEIGHTS, schedules: tuple = SCHEDULES, budget: float = 1.5, most: float = 2.0, text: str = "text", keep: tuple[str, ...] = ()) -> DataFrame:
+    """(doc_id, size, source_size, target, taken, positions) and the columns keep of docs, range-sorted by first position; see above."""
+    sized = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("source").cast("string").isNull().alias("none"), F.coalesce(F.col("source").cast("string"), F.lit("")).alias("source"), F.coalesce(F.regexp_count(F.col(text), F.lit(WORD)), F.lit(0)).cast("long").alias("size"), *keep)
     sized = written(sized.withColumn("mark", F.md5(F.coalesce(F.col("doc_id").cast("string"), F.lit("")))), "sizes")
     digits = max(1, min(6, math.ceil(math.log(max(1, sized.count() / PIECE_ROWS), 16))))
     sized = sized.withColumn("piece", F.substring("mark", 1, digits))
@@ -112,7 +112,7 @@ def curriculum(docs: DataFrame, weights: tuple[int, ...] = WEIGHTS, schedules: t
         timed = F.when(F.col("kind") == i, F.transform(begins, _positioned(schedule))).otherwise(timed)
     rows = rows.withColumn("positions", F.when((F.col("need") > 0) & (F.col("size") > 0), timed).otherwise(F.array().cast("array<double>")))
     first = F.coalesce(F.try_element_at("positions", F.lit(1)), F.lit(2.0))
-    rows = rows.select("doc_id", "size", "source_size", F.col("target").cast("double").alias("target"), "taken", "positions", first.alias("first"))
+    rows = rows.select("doc_id", "size", "source_size", F.col("target").cast("double").alias("target"), "taken", "positions", *keep, first.alias("first"))
     return rows.repartitionByRange("first", "doc_id").sortWithinPartitions("first", "doc_id").drop("first")
 
 

@@ -270,6 +270,18 @@ def test_pipeline_stages(spark):
     assert set(mixed) == {i for i, n in taken.items() if n}
 
 
+def test_pipeline_mixes_rows_with_null_and_repeated_ids(spark):
+    import corpus_pipeline as p
+
+    rows = [(None, "no id but words", "a"), (None, "no id and other words here", "b"), (1, "one two", "a"), (2, "same id first text", "b"), (2, "same id", "b"), (2, "same id", "c"), (3, None, "a")]
+    d = spark.createDataFrame([*rows, *[(i, f"filler text {i} of some length", "abc"[i % 3]) for i in range(10, 40)]], "doc_id long, text string, source string")
+    want = Counter()
+    for r in curriculum.curriculum(d, keep=("text",)).collect():
+        want[r.doc_id, r.text] += len(r.positions)
+    got = Counter((r.doc_id, r.text) for r in p.mixed(spark, d, SF).collect())
+    assert got == +want and any(i is None for i, _ in got)
+
+
 @pytest.mark.parametrize("make", [odd_docs, no_docs])
 def test_pipeline_takes_odd_inputs(spark, make):
     import corpus_pipeline as p

@@ -6,8 +6,9 @@ is built from the slices alone: a query component's bits choose slices, a negati
 and carry-save adders on bitmaps sum them into slices of the score. The top rows are then selected from the
 most significant slice downward; rows still equal after the last slice are told apart by smaller id.
 
-Vectors that are null, or hold nulls or values that are not finite, take no part, nor do those with
-|floor(scale * x)| of 2**26 or more, whose scores could leave 64 bits. Shorter vectors end in zeros. Rows
+Vectors that are null, or hold nulls or values that are not finite, take no part. Where a tile's and a block's
+values could leave 64 bits they are exact Python integers; a component or a result that itself leaves 64 bits is an
+error, not a lost row. Shorter vectors end in zeros. Rows
 with the same id are separate candidates; a query never finds rows with its own id. A table without
 queries or candidates gives no rows.
 """
@@ -107,7 +108,11 @@ def rows_of(words: np.ndarray) -> np.ndarray:
 
 
 def top_rows(ids: np.ndarray, values: np.ndarray, query_ids: np.ndarray, queries: np.ndarray, k: int) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
-    """(query id, row ids, scores) of each query's k best rows; ids ascend."""
+    """(query id, row ids, scores) of each query's k best rows; ids ascend. Scores that could leave 64 bits are Python integers."""
+    most, size = (max(abs(int(m.max(initial=0))), abs(int(m.min(initial=0)))) for m in (values, queries))
+    if most >= 2**62 or size >= 2**62:
+        values, queries = values.astype(object), queries.astype(object)
+    exact = values.shape[1] * most * size >= 2**63
     parts, _ = slices(values)
     alive = bitmap(np.ones(len(ids), bool))
     for at in range(0, len(query_ids), LANE):
@@ -121,15 +126,15 @@ def top_rows(ids: np.ndarray, values: np.ndarray, query_ids: np.ndarray, queries
         for i, query in enumerate(own):
             rows = rows_of(sure[i])
             rows = np.concatenate([rows, rows_of(tied[i])[: k - len(rows)]])
-            yield query, ids[rows], values[rows] @ some[i]
+            yield query, ids[rows], values[rows].astype(object) @ some[i].astype(object) if exact else values[rows] @ some[i]
 
 
 def topk(rows: DataFrame, queries: DataFrame, k: int, scale: int = 1024, tile_rows: int = TILE_ROWS, query_rows: int = QUERY_ROWS) -> DataFrame:
     """(query_id, rank, vec_id, score) of each query's k best rows by inner product of quantised vectors; rows and queries are (id, v)."""
 
     def quantised(df: DataFrame) -> DataFrame:
-        q = df.select("id", F.transform("v", lambda x: F.floor(x * scale).cast("long")).alias("v"))
-        return q.where(~F.exists("v", lambda x: F.abs(x) >= 2**26))
+        whole = lambda x: F.when(F.abs(x * scale) < 2.0**63, F.floor(x * scale).cast("long")).otherwise(F.raise_error(F.lit("a quantised component leaves 64 bits")))
+        return df.select("id", F.transform("v", whole).alias("v"))
 
     rows.sparkSession.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(PAIR_BATCH_ROWS))
 
@@ -141,10 +146,18 @@ def topk(rows: DataFrame, queries: DataFrame, k: int, scale: int = 1024, tile_ro
                 found = list(top_rows(ids, values.astype(np.int64), query_ids, queries.astype(np.int64), k))
                 n = [len(x[1]) for x in found]
                 if sum(n):
-                    yield pa.RecordBatch.from_arrays([pa.array(np.repeat(query_ids, n)), pa.array(np.concatenate([x[1] for x in found])), pa.array(np.concatenate([x[2] for x in found]))], ["query_id", "vec_id", "score"])
+                    score = np.concatenate([x[2] for x in found])
+                    far = np.zeros(len(score), np.int32)  # beyond 64 bits: 1 above, -1 below
+                    if score.dtype == object:
+                        far = (score >= 2**63).astype(np.int32) - (score < -(2**63)).astype(np.int32)
+                        score = np.where(far == 0, score, 0).astype(np.int64)
+                    yield pa.RecordBatch.from_arrays([pa.array(np.repeat(query_ids, n)), pa.array(np.concatenate([x[1] for x in found])), pa.array(far), pa.array(score, pa.int64())], ["query_id", "vec_id", "far", "score"])
 
     pairs = tiles(written(quantised(rows), "rows"), written(quantised(queries), "queries"), tile_rows, query_rows)
-    return best(pairs.select("tile_rows", "block_rows").mapInArrow(work, "query_id long, vec_id long, score long"), k)
+    found = pairs.select("tile_rows", "block_rows").mapInArrow(work, "query_id long, vec_id long, far int, score long")
+    found = best(found.select("query_id", "vec_id", F.struct("far", "score").alias("score")), k)
+    score = F.when(F.col("score.far") == 0, F.col("score.score")).otherwise(F.raise_error(F.lit("a score leaves 64 bits")))
+    return found.withColumn("score", score)
 
 
 def op2_bitsliced_topk(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -52,7 +52,7 @@ def matrix(rows: pa.ListScalar, field: str = "v") -> tuple[np.ndarray, np.ndarra
     flat = lists.flatten().to_numpy(zero_copy_only=False)
     if (length == width).all():
         return ids, flat.reshape(len(ids), width)
-    out = np.zeros((len(ids), width))
+    out = np.zeros((len(ids), width), flat.dtype)
     out[np.arange(width) < length[:, None]] = flat
     return ids, out
 

@@ -128,6 +128,16 @@ def test_bitsliced_odd_inputs_and_ties(spark):
     assert bitsliced_topk.topk(rows.where("false"), rows.where("false"), 3).count() == 0
 
 
+def test_bitsliced_keeps_large_vectors(spark):
+    large = [(20, [1.0, -70_000.0]), (40, [3.0e6, 0.5, 2.0]), (60, [-9.0e14, 0.25]), (1, [2.0e5, 3.0]), (2, [1.0e6, 1.0e6]), (3, [0.5, 1.0]), (4, [-8.0e15, 0.0]), (5, [2.0**20 + 0.001])]
+    rows = spark.createDataFrame(large, "id long, v array<double>")
+    got = sorted(tuple(r) for r in bitsliced_topk.topk(rows, rows.where("id in (20, 40)"), 3, tile_rows=3, query_rows=1).collect())
+    want = [x for x in brute(large, 20, 3, whole_product) if x[0] in (20, 40)]
+    assert got == want
+    with pytest.raises(Exception, match="leaves 64 bits"):
+        bitsliced_topk.topk(rows, rows.where("id = 4"), 3).collect()
+
+
 def test_additive_codes_search(spark):
     rows = [(r.vec_id, r.embedding) for r in table(spark, SF, "embeddings").collect()]
     got = additive_ann.op10_additive_ann(spark, SF).collect()

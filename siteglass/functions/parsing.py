@@ -12,9 +12,34 @@ def strict_date(x: Column) -> Column:
 
 
 def w3c_datetime(x: Column) -> Column:
-    """Whether x is a year, month, day or date and time with a zone, on the calendar."""
-    shape = F.regexp_like(x, F.lit(r"^\d{4}(-(0[1-9]|1[0-2])(-\d{2}(T([01]\d|2[0-3]):[0-5]\d(:[0-5]\d(\.\d+)?)?(Z|[+-]([01]\d|2[0-3]):[0-5]\d))?)?)?$"))
-    return shape & ((F.length(x) < 10) | F.try_to_date(F.substring(x, 1, 10), "yyyy-MM-dd").isNotNull())
+    """Whether x is a year, month, day or date and time with a zone, on the calendar. The parts at either side of T are parsed on their own."""
+    day, clock = F.substring_index(x, "T", 1), F.when(F.contains(x, F.lit("T")), F.regexp_replace(x, "^[^T]*T", ""))
+    n = F.length(day)
+    on_calendar = F.when(n == 4, F.regexp_like(day, F.lit(r"^\d+$"))).when(n == 7, strict_date(F.concat(day, F.lit("-01"))).isNotNull()).otherwise(strict_date(day).isNotNull())
+    zone = F.regexp_extract(clock, r"(Z|[+-]\d\d:\d\d)$", 1)
+    time = F.left(clock, F.length(clock) - F.length(zone))
+    hours = lambda t: F.try_to_timestamp(F.concat(F.lit("2000-01-01 "), t), F.lit("yyyy-MM-dd HH:mm")).isNotNull()
+    seconds = F.try_to_timestamp(F.concat(F.lit("2000-01-01 "), F.regexp_replace(time, r"(?<=:\d\d:\d\d)\.\d+$", "")), F.lit("yyyy-MM-dd HH:mm:ss")).isNotNull()
+    good_time = F.when(F.length(time) == 5, hours(time)).otherwise(seconds)
+    good_zone = F.when(zone == "Z", True).otherwise((zone != "") & hours(F.substring(zone, 2, 5)))
+    return F.when(clock.isNull(), on_calendar).otherwise((n == 10) & on_calendar & good_time & good_zone)
+
+
+def zoned_timestamp(x: Column) -> Column:
+    """Whether x is a date and time that names its zone."""
+    return F.contains(x, F.lit("T")) & w3c_datetime(x)
+
+
+def position(x: Column) -> Column:
+    """An average position: a plain decimal of 1 or more (0 for what was never shown)."""
+    t = F.trim(x)
+    return F.when(F.regexp_like(t, F.lit(r"^\d+(\.\d+)?$")), t.try_cast("double"))
+
+
+def exact_decimal(x: Column) -> Column:
+    """A number as an exact decimal: digits, with a sign and a fraction, and nothing else."""
+    t = F.trim(x)
+    return F.when(F.regexp_like(t, F.lit(r"^[+-]?\d{1,20}(\.\d{1,18})?$")), t.try_cast("decimal(38,18)"))
 
 
 def grouped_integer(x: Column) -> Column:
@@ -27,7 +52,7 @@ def click_rate(x: Column) -> Column:
     """A percentage such as 2.5% or a fraction from 0 to 1, as a fraction."""
     t = F.trim(x)
     value = F.when(F.endswith(t, F.lit("%")), F.regexp_replace(t, r"\s*%$", "").try_cast("double") / 100).otherwise(t.try_cast("double"))
-    return F.when(value.between(0, 1), value)
+    return F.when(F.regexp_like(t, F.lit(r"^\d+(\.\d+)?(\s*%)?$")) & value.between(0, 1), value)
 
 
 def rating(x: Column) -> Column:
@@ -49,7 +74,7 @@ def price_visible(text: Column, price: Column) -> Column:
 
 def bot_hit(agent: Column, token: str) -> Column:
     """Whether an agent string holds a bot's token on its own."""
-    return F.regexp_like(agent, F.lit(rf"(?i)(^|[^A-Za-z0-9-]){token}([^A-Za-z0-9-]|$)"))
+    return F.regexp_like(agent, F.lit(rf"(?i)(^|[^A-Za-z0-9-])\Q{token}\E([^A-Za-z0-9-]|$)"))
 
 
 def terms_hit(terms: list[str], *fields: Column) -> Column:

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 # fixed values: lengths that are neither short nor long, by kind and script
@@ -18,9 +18,14 @@ def multi(x: Column) -> Column:
     return F.array_distinct(F.filter(F.split(F.trim(x), r"[\s,;|]+"), lambda v: v != ""))
 
 
+# fixed values: what a form's yes and no look like
+YES = ("y", "yes", "true", "1", "o", "예", "네", "인용", "있음")
+NO = ("n", "no", "false", "0", "x", "아니오", "아니요", "없음")
+
+
 def yes_no(x: Column) -> Column:
     v = F.lower(F.trim(x))
-    return F.when(v.isin("y", "yes", "true", "1", "o", "예", "네"), True).when(v.isin("n", "no", "false", "0", "x", "아니오", "아니요"), False)
+    return F.when(v.isin(*YES), True).when(v.isin(*NO), False)
 
 
 def fingerprint(kind: Column, text: Column) -> Column:
@@ -62,3 +67,44 @@ def clip(x: Column, n: int) -> Column:
 def sample_cell(hits: Column, known: Column) -> Column:
     """Hits over known, or a dash where nothing is known: a rate of nothing is not zero."""
     return F.when(known > 0, F.format_string("%d/%d", hits, known)).otherwise("-")
+
+
+def set_fingerprint(rows: DataFrame, by: list[str], kind: str = "kind", text: str = "text") -> DataFrame:
+    """A digest of each group's questions that does not depend on their order."""
+    own = fingerprint(F.col(kind), F.col(text))
+    return rows.groupBy(*by).agg(F.sha2(F.concat_ws("\n", F.array_sort(F.collect_set(own))), 256).alias("set_fingerprint"), F.count("*").alias("n_questions"))
+
+
+def page_directives(meta: Column, header: Column, agent: str) -> Column:
+    """Robots directives of a page for an agent: of its meta element and of header lines, whose agent holds until another is named; none means noindex and nofollow.
+
+    Header lines are separated by line feeds, directives by commas; `agent: directive` opens a scope.
+    """
+    parts = F.flatten(F.transform(F.split(F.lower(F.coalesce(header, F.lit(""))), "\n"), lambda line: F.transform(F.split(line, ","), lambda x: F.trim(x))))
+    start = F.struct(F.lit("").alias("scope"), F.array().cast("array<string>").alias("found"))
+    valued = r"^(max-snippet|max-image-preview|max-video-preview|unavailable_after)\s*:"
+
+    def step(s, x):
+        names = F.contains(x, F.lit(":")) & ~F.regexp_like(x, F.lit(valued))
+        scope = F.when(names, F.trim(F.substring_index(x, ":", 1))).otherwise(s["scope"])
+        word = F.when(names, F.trim(F.regexp_replace(x, "^[^:]*:", ""))).otherwise(x)
+        mine = (word != "") & ((scope == "") | (scope == agent.lower()))
+        return F.struct(scope.alias("scope"), F.when(mine, F.array_append(s["found"], word)).otherwise(s["found"]).alias("found"))
+
+    both = F.concat(directives(F.coalesce(meta, F.lit(""))), F.aggregate(parts, start, step)["found"])
+    both = F.transform(both, lambda x: F.regexp_replace(x, r"\s*:\s*", ":"))
+    return F.array_sort(F.array_distinct(F.flatten(F.transform(both, lambda x: F.when(x == "none", F.array(F.lit("noindex"), F.lit("nofollow"))).otherwise(F.array(x))))))
+
+
+def placeholder(x: Column) -> Column:
+    """Whether a draft still holds a mark for text to come."""
+    return F.regexp_like(x, F.lit(r"(?i)<<\s*todo|\[(?:todo|tbd|insert)[^\]]*\]|\{\{[^}]*\}\}|\blorem ipsum\b"))
+
+
+def unchecked_tasks(x: Column) -> Column:
+    return F.regexp_count(x, F.lit(r"(?m)^\s*[-*]\s+\[ \]"))
+
+
+def gate(html: Column, least_bytes: int) -> Column:
+    """Whether an answer page can be judged: big enough, and no request to prove that one is human."""
+    return F.when(F.coalesce(F.octet_length(html), F.lit(0)) < least_bytes, "too_small").when(F.regexp_like(html, F.lit(r"(?i)captcha|unusual traffic")), "challenge").otherwise("ok")

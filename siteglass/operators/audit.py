@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import text, urls
+from .planning import numbered
 
 
 def facts(pages: DataFrame) -> DataFrame:
@@ -30,38 +31,6 @@ def duplicates(found: DataFrame, field: str) -> DataFrame:
     return found.where(F.col(field) != "").groupBy(field).agg(F.count("*").alias("n_pages")).where("n_pages > 1")
 
 
-def findings(found: DataFrame) -> DataFrame:
-    """(page_id, code, severity) of every rule that a page breaks."""
-    title = text.length_verdict(F.col("title"), "title")
-    rules: list[tuple[str, str, Column]] = [
-        ("title_missing", "critical", F.col("title") == ""),
-        ("title_short", "info", (F.col("title") != "") & (title == "short")),
-        ("title_long", "info", title == "long"),
-        ("h1_missing", "warn", F.col("h1_count") == 0),
-        ("h1_multiple", "info", F.col("h1_count") > 1),
-        ("canonical_missing", "warn", ~F.col("has_canonical")),
-        ("jsonld_missing", "warn", F.col("jsonld_count") == 0),
-        ("noindex", "critical", F.col("noindex")),
-        ("lang_missing", "info", F.col("lang") == ""),
-    ]
-    each = F.array_compact(F.array(*[F.when(test, F.struct(F.lit(code).alias("code"), F.lit(severity).alias("severity"))) for code, severity, test in rules]))
-    return found.select("page_id", F.explode(each).alias("x")).select("page_id", "x.code", "x.severity")
-
-
-def scorecard(found: DataFrame) -> DataFrame:
-    """For each code the number of pages, and the status its severity gives."""
-    status = F.when(F.col("severity") == "critical", "bad").when(F.col("severity") == "warn", "warn").otherwise("ok")
-    return found.groupBy("code", "severity").agg(F.countDistinct("page_id").alias("n_pages")).withColumn("status", status)
-
-
-def unreached(found: DataFrame) -> DataFrame:
-    """Pages to which no page of the same host links."""
-    origin = F.concat(urls.part(F.col("url"), 1), F.lit("://"), urls.part(F.col("url"), 2))
-    to = found.select(F.explode("links").alias("href"), origin.alias("origin")).select(F.when(F.startswith("href", F.lit("/")), F.concat("origin", "href")).otherwise(F.col("href")).alias("url"))
-    linked = to.select(urls.link_key(F.col("url")).alias("key")).distinct()
-    return found.withColumn("key", urls.link_key(F.col("url"))).join(linked, "key", "left_anti").select("page_id", "url")
-
-
 def sections(pages: DataFrame) -> DataFrame:
     return pages.groupBy(urls.host(F.col("url")).alias("host"), urls.section(F.col("url")).alias("section")).agg(F.count("*").alias("n_pages"))
 
@@ -74,7 +43,7 @@ def representatives(pages: DataFrame) -> DataFrame:
 
 def spread_hosts(pages: DataFrame) -> DataFrame:
     """turn: 1 for the first page of its host, 2 for the second, and so on; sorting by it takes every host's first before any second."""
-    return pages.select("page_id", urls.host(F.col("url")).alias("host")).withColumn("turn", F.row_number().over(Window.partitionBy("host").orderBy("page_id")))
+    return numbered(pages.select("page_id", urls.host(F.col("url")).alias("host")), ["host"], "page_id")
 
 
 def allowed(path: Column, rules: list[tuple[str, bool]]) -> Column:

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from ..functions import urls
 from ..functions.stats import rate
+from .planning import numbered
 
 
 def cited(rows: DataFrame) -> DataFrame:
@@ -33,16 +34,16 @@ def top(counts: DataFrame, n: int) -> DataFrame:
 def channel_shares(rows: DataFrame, site: str, channels: DataFrame) -> DataFrame:
     """channels (suffix, channel): runs with a domain of each channel over runs with any third-party domain; a run counts once for each channel.
 
-    A domain is matched by each of its own suffixes, so the join is on equal keys.
+    Distinct domains, a small table, are classified by their own suffixes, so both joins are on equal keys; runs are joined with the result.
     """
     other = cited(rows).where(~urls.owned(F.col("domain"), F.lit(site))).select("seq", "domain").distinct()
     labels = F.split("domain", r"\.")
     suffixes = F.transform(F.sequence(F.lit(1), F.size(labels)), lambda k: F.array_join(F.slice(labels, k, F.size(labels)), "."))
-    named = other.select("seq", "domain", F.posexplode(suffixes).alias("at", "suffix")).join(channels, "suffix", "left")
-    best = named.groupBy("seq", "domain").agg(F.min_by("channel", F.when(F.col("channel").isNotNull(), F.col("at"))).alias("channel"))
-    best = best.withColumn("channel", F.coalesce("channel", F.lit("other")))
-    total = other.agg(F.count_distinct("seq").alias("with_sources"))  # one row
-    counts = best.groupBy("channel").agg(F.count_distinct("seq").alias("n_runs"))
+    named = other.select("domain").distinct().select("domain", F.posexplode(suffixes).alias("at", "suffix")).join(channels, "suffix")
+    of = named.groupBy("domain").agg(F.min_by("channel", "at").alias("channel"))
+    each = other.join(of, "domain", "left").select("seq", F.coalesce("channel", F.lit("other")).alias("channel")).distinct()
+    total = each.agg(F.count_distinct("seq").alias("with_sources"))  # one row
+    counts = each.groupBy("channel").agg(F.count("*").alias("n_runs"))
     return counts.join(F.broadcast(total)).select("channel", "n_runs", "with_sources", rate(F.col("n_runs"), F.col("with_sources")).alias("share"))
 
 
@@ -52,5 +53,5 @@ def capped(rows: DataFrame, by: str, order: list[str], n: int) -> DataFrame:
 
 
 def interleaved(rows: DataFrame, kind: str, order: str) -> DataFrame:
-    """turn: the row's number within its kind, so that sorting by (turn, kind) takes kinds in turn."""
-    return rows.withColumn("turn", F.row_number().over(Window.partitionBy(kind).orderBy(order)))
+    """turn: the row's number within its kind, so that sorting by (turn, kind) takes kinds in turn. order is an integer; see planning.numbered."""
+    return numbered(rows, [kind], order)

@@ -100,13 +100,6 @@ def a33_outcomes(spark: SparkSession, sf_dir: str) -> DataFrame:
     return observations(spark, sf_dir).groupBy("engine").pivot("outcome", OUTCOMES).agg(F.count(F.lit(1))).fillna(0)
 
 
-@query("WITH t AS (SELECT page_id, left(coalesce(html, ''), 200) AS title FROM pages) SELECT page_id, count(*) OVER (PARTITION BY title) AS uses FROM t")
-def a35_label_usage(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Uses of each page's label, by an aggregate and a join back, so that a common label is combined before the shuffle."""
-    pages = table(spark, sf_dir, "pages").select("page_id", F.xxhash64(F.left(F.coalesce("html", F.lit("")), F.lit(200))).alias("label"))
-    return pages.join(pages.groupBy("label").agg(F.count("*").alias("uses")), "label").select("page_id", "uses")
-
-
 @query("SELECT user_id, min(event_id) AS event_id, arg_min(event_type, event_id) AS event_type FROM events GROUP BY user_id")
 def w02_first_wins(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "events").groupBy("user_id").agg(F.min("event_id").alias("event_id"), F.min_by("event_type", "event_id").alias("event_type"))
@@ -168,10 +161,10 @@ def j05_controls(spark: SparkSession, sf_dir: str) -> DataFrame:
     return compare.controls(a, b, "question_id", FIELDS)
 
 
-@query(f"{HALVES} (SELECT seq % 997 AS key, 'gone' AS state FROM a EXCEPT SELECT seq % 997, 'gone' FROM b) UNION ALL (SELECT seq % 997, 'new' FROM b EXCEPT SELECT seq % 997, 'new' FROM a)")
+@query(f"{HALVES} (SELECT seq % 7919 AS key, 'gone' AS state FROM a EXCEPT SELECT seq % 7919, 'gone' FROM b) UNION ALL (SELECT seq % 7919, 'new' FROM b EXCEPT SELECT seq % 7919, 'new' FROM a)")
 def j06_presence(spark: SparkSession, sf_dir: str) -> DataFrame:
     a, b = _halves(spark, sf_dir)
-    key = (F.col("seq") % 997).alias("key")
+    key = (F.col("seq") % 7919).alias("key")
     return compare.presence(a.select(key), b.select(key), "key")
 
 
@@ -197,11 +190,12 @@ def j16_sitemap_crawl(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sitemaps.against_crawl(pages.where("page_id % 3 <> 0"), pages.where("page_id % 3 <> 1"))
 
 
-@query(f"""WITH k AS (SELECT page_id, {HOST} AS host, list_filter(string_split({PATH}, '/'), lambda x: x <> '') AS parts FROM pages),
+@query(f"""WITH k AS (SELECT page_id, {HOST} AS host, list_filter(string_split({PATH}, '/'), lambda x: x <> '') AS parts FROM (SELECT page_id, CASE page_id % 4 WHEN 0 THEN regexp_extract(url, '^([^:]*://[^/]*)', 1) || '/' WHEN 1 THEN regexp_extract(url, '^([^:]*://[^/]*)', 1) || '/en/' ELSE url END AS url FROM pages)),
     known AS (SELECT host, array_to_string(parts, '/') AS trail, min(page_id) AS parent_id FROM k GROUP BY ALL), s AS (SELECT page_id, host, parts, unnest(range(len(parts))) AS depth FROM k)
     SELECT page_id, CAST(depth AS INTEGER) AS depth, parent_id FROM s JOIN known ON s.host = known.host AND known.trail = coalesce(array_to_string(s.parts[1:depth], '/'), '')""")
 def j19_breadcrumbs(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return sitemaps.breadcrumbs(table(spark, sf_dir, "pages"))
+    origin, i = F.regexp_extract("url", "^([^:]*://[^/]*)", 1), F.col("page_id") % 4
+    return sitemaps.breadcrumbs(table(spark, sf_dir, "pages").select("page_id", F.when(i == 0, F.concat(origin, F.lit("/"))).when(i == 1, F.concat(origin, F.lit("/en/"))).otherwise(F.col("url")).alias("url")))
 
 
 @query(f"SELECT count(*) AS entries, count(*) FILTER (lastmod IS NULL) AS missing, count(*) FILTER (page_id % 5 = 1) AS invalid, count(*) FILTER ({HOST} <> 'www.example.org') AS foreign_host, count(*) - count(DISTINCT url) AS duplicates FROM (SELECT url, page_id, CASE WHEN page_id % 4 <> 0 THEN 'x' WHEN page_id % 5 = 1 THEN 'x' END AS lastmod FROM pages)")

@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from .functions import text, urls
 from .functions.stats import wilson_sql
 from .operators import audit, measure
-from .plans import more
+from .plans import crawl, more, planning
 from .sources.tables import ENGINES, OBSERVATIONS_SQL, observations, table
 
 FLAGSHIP = "a04_rates"
@@ -190,16 +190,6 @@ def a20_sections(spark: SparkSession, sf_dir: str) -> DataFrame:
     return audit.sections(table(spark, sf_dir, "pages"))
 
 
-@query()
-def a22_scorecard(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return audit.scorecard(audit.findings(audit.facts(table(spark, sf_dir, "pages"))))
-
-
-@query()
-def j33_reachability(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return audit.unreached(audit.facts(table(spark, sf_dir, "pages")))
-
-
 @query(f"SELECT host, section, page_id, url FROM (SELECT *, row_number() OVER (PARTITION BY host, section ORDER BY length(url), page_id) AS n FROM (SELECT {HOST} AS host, {SECTION} AS section, page_id, url FROM pages)) WHERE n = 1")
 def w06_representative(spark: SparkSession, sf_dir: str) -> DataFrame:
     return audit.representatives(table(spark, sf_dir, "pages"))
@@ -226,5 +216,6 @@ def j15_robots(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "pages").select("page_id", audit.allowed(urls.part(F.col("url"), 3), rules).alias("allowed"))
 
 
-QUERIES |= more.QUERIES
-ORACLES |= more.ORACLES
+for part in (more, crawl, planning):
+    QUERIES |= part.QUERIES
+    ORACLES |= part.ORACLES

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -21,11 +22,14 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def scratch_dir(spark: SparkSession) -> str:
-    """A folder that driver and executors share: under spark.checkpoint.dir, or a temporary one where that is unset."""
+    """A folder that driver and executors share: under spark.checkpoint.dir. Where that is unset, a temporary
+    folder if driver and executors are one process, and else a folder in the warehouse."""
     base = spark.conf.get("spark.checkpoint.dir", None)
     app = spark.sparkContext.applicationId
-    if not base:
+    if not base and spark.sparkContext.master.partition("[")[0] == "local":
         base = _own.setdefault(app, "file://" + tempfile.mkdtemp(prefix="siteglass-"))
+    elif not base:
+        base = spark.conf.get("spark.sql.warehouse.dir").rstrip("/") + "/_scratch"
     return f"{base.rstrip('/')}/{app}"
 
 
@@ -34,13 +38,40 @@ def written(df: DataFrame, name: str) -> DataFrame:
     spark = df.sparkSession
     path = f"{scratch_dir(spark)}/{name}-{uuid.uuid4().hex}"
     df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    out = spark.read.schema(df.schema).parquet(path)
+    out._scratch = path
+    return out
+
+
+def drop(*tables: DataFrame | None) -> None:
+    """Delete written tables that nothing reads any more: what was made of them is itself written."""
+    for t in tables:
+        if t is not None and getattr(t, "_scratch", None):
+            _delete(t.sparkSession, t._scratch)
+
+
+def _delete(spark: SparkSession, path: str) -> None:
+    at = spark._jvm.org.apache.hadoop.fs.Path(path)
+    at.getFileSystem(spark._jsc.hadoopConfiguration()).delete(at, True)
 
 
 def clean(spark: SparkSession) -> None:
-    """Delete the scratch tables of this application; call it when results have been written."""
-    path = spark._jvm.org.apache.hadoop.fs.Path(scratch_dir(spark))
-    path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+    """Delete all scratch tables of this application; call it when results have been written."""
+    _delete(spark, scratch_dir(spark))
+
+
+def aside(docs: DataFrame, keep: tuple[str, ...]) -> tuple[DataFrame, Callable[[DataFrame], DataFrame]]:
+    """docs with all columns but those to keep under names of no meaning, and a function that gives a result its names back.
+
+    So columns of the input never clash with those that an operator adds; an added column replaces one of its name.
+    """
+    named = {(c if c in keep else f"__{i}"): c for i, c in enumerate(docs.columns)}
+
+    def back(df: DataFrame) -> DataFrame:
+        added = [c for c in df.columns if c not in named]
+        return df.select(*[F.col(c).alias(named[c]) for c in df.columns if c in named and named[c] not in added], *added)
+
+    return docs.select(*[F.col(f"`{c}`").alias(n) for n, c in named.items()]), back
 
 
 def checked_broadcast(small: DataFrame, rows: int = BROADCAST_ROWS) -> DataFrame:

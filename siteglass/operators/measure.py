@@ -12,15 +12,25 @@ from pyspark.sql import functions as F
 
 from ..functions.stats import rate, wilson
 
-KEY = ["date", "question_id", "engine", "run_no", "mode", "locale", "surface", "login", "search_enabled", "fingerprint"]
-SLOT = ["date", "question_id", "engine", "run_no", "mode", "locale", "surface"]
+KEY = ["date", "question_id", "engine", "run_no", "mode", "surface", "locale", "login", "search_enabled", "campaign_id", "model", "session_id"]
+#: What a reserved run and the run that fulfils it have in common.
+SLOT = ["date", "question_id", "fingerprint", "engine", "run_no", "mode", "campaign_id"]
 COHORT = ["engine", "mode", "surface", "locale", "login", "search_enabled"]
 
 
+def key_value(name: str) -> Column:
+    """A key's field as rows are told apart by it: a missing mode is manual, a missing surface the engine, other missing ones empty."""
+    if name == "mode":
+        return F.coalesce(name, F.lit("manual"))
+    if name == "surface":
+        return F.coalesce(name, "engine")
+    return F.coalesce(F.col(name).cast("string"), F.lit("")) if name in ("locale", "login", "search_enabled", "campaign_id", "model", "session_id", "fingerprint") else F.col(name)
+
+
 def last_write_wins(rows: DataFrame, key: list[str] = KEY, order: str = "seq") -> DataFrame:
     """The last row of each key; a partial aggregate, not a window, so a hot key is combined before the shuffle."""
-    rest = [c for c in rows.columns if c not in key]
-    return rows.groupBy(*key).agg(F.max(F.struct(order, *[c for c in rest if c != order])).alias("m")).select(*key, *[f"m.{c}" for c in rest])
+    rest = [c for c in rows.columns if c != order]
+    return rows.groupBy(*[key_value(c).alias(f"_{c}") for c in key]).agg(F.max(F.struct(order, *rest)).alias("m")).select("m.*").select(*rows.columns)
 
 
 def compatible(rows: DataFrame, questions: DataFrame) -> DataFrame:
@@ -31,8 +41,16 @@ def compatible(rows: DataFrame, questions: DataFrame) -> DataFrame:
 
 def without_fulfilled(rows: DataFrame) -> DataFrame:
     """Reserved rows whose slot has an observed row go; all others stay."""
-    done = rows.where("not reservation and outcome = 'observed'").select(*SLOT).distinct()
-    return rows.where("reservation").join(done, SLOT, "left_anti").unionByName(rows.where("not reservation"))
+    slot = [key_value(c).alias(f"_{c}") for c in SLOT]
+    names = [f"_{c}" for c in SLOT]
+    done = rows.where("outcome = 'observed'").select(*slot).distinct()
+    reserved = rows.where("reservation").select("*", *slot).join(done, names, "left_anti").drop(*names)
+    return reserved.unionByName(rows.where("reservation is null or not reservation"))
+
+
+def current(rows: DataFrame, order: str = "seq") -> DataFrame:
+    """A log's rows as they are now: the last of each key, without fulfilled reservations."""
+    return without_fulfilled(last_write_wins(rows, KEY, order))
 
 
 def citation_known() -> Column:

@@ -40,9 +40,18 @@ def _obs(spark: SparkSession, sf_dir: str) -> DataFrame:
     return observations(spark, sf_dir)
 
 
-@query(f"{O} SELECT date, question_id, engine, run_no, mode, locale, surface, login, search_enabled, fingerprint, max(seq) AS seq, arg_max(outcome, seq) AS outcome FROM o GROUP BY ALL")
+LAST = """SELECT arg_max(x, seq) AS r FROM (SELECT o AS x, * FROM o) GROUP BY date, question_id, engine, run_no, mode, surface, locale, login, search_enabled, campaign_id, model, session_id"""
+
+
+@query(f"{O}, l AS ({LAST}) SELECT r.date AS date, r.question_id AS question_id, r.engine AS engine, r.run_no AS run_no, r.campaign_id AS campaign_id, r.model AS model, r.session_id AS session_id, r.seq AS seq, r.outcome AS outcome FROM l")
 def w01_lww(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return measure.last_write_wins(_obs(spark, sf_dir)).select(*measure.KEY, "seq", "outcome")
+    return measure.last_write_wins(_obs(spark, sf_dir)).select("date", "question_id", "engine", "run_no", "campaign_id", "model", "session_id", "seq", "outcome")
+
+
+@query(f"""{O}, l AS ({LAST}), c AS (SELECT r.* FROM l) SELECT seq, outcome FROM c x WHERE NOT reservation OR NOT EXISTS (SELECT 1 FROM c y WHERE y.outcome = 'observed' AND x.date = y.date AND x.question_id = y.question_id
+    AND x.fingerprint = y.fingerprint AND x.engine = y.engine AND x.run_no = y.run_no AND x.mode = y.mode AND x.campaign_id IS NOT DISTINCT FROM y.campaign_id)""")
+def s02_current_log(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return measure.current(_obs(spark, sf_dir)).select("seq", "outcome")
 
 
 @query(f"{O} SELECT engine, {COUNTS} FROM k GROUP BY engine")
@@ -97,8 +106,8 @@ def j02_fingerprint(spark: SparkSession, sf_dir: str) -> DataFrame:
     return measure.compatible(_obs(spark, sf_dir), questions).groupBy("engine").agg(F.count_if("compatible").alias("compatible_rows"), F.count_if(~F.col("compatible")).alias("excluded_rows"))
 
 
-@query(f"""{O} SELECT seq, reservation, outcome FROM o x WHERE NOT reservation OR NOT EXISTS (SELECT 1 FROM o y WHERE NOT y.reservation AND y.outcome = 'observed'
-    AND x.date = y.date AND x.question_id = y.question_id AND x.engine = y.engine AND x.run_no = y.run_no AND x.mode = y.mode AND x.locale = y.locale AND x.surface = y.surface)""")
+@query(f"""{O} SELECT seq, reservation, outcome FROM o x WHERE NOT reservation OR NOT EXISTS (SELECT 1 FROM o y WHERE y.outcome = 'observed' AND x.date = y.date AND x.question_id = y.question_id
+    AND x.fingerprint = y.fingerprint AND x.engine = y.engine AND x.run_no = y.run_no AND x.mode = y.mode AND x.campaign_id IS NOT DISTINCT FROM y.campaign_id)""")
 def j03_reservation(spark: SparkSession, sf_dir: str) -> DataFrame:
     return measure.without_fulfilled(_obs(spark, sf_dir)).select("seq", "reservation", "outcome")
 

@@ -34,6 +34,9 @@ def observations(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.when(i % 10 == 0, F.lit(None).cast("boolean")).otherwise(F.col("value") > 50).alias("cited"),
         F.when(i % 8 == 0, F.lit(None).cast("boolean")).otherwise(i % 3 == 0).alias("mentioned"),
         F.when(i % 12 == 0, F.lit(None).cast("boolean")).otherwise(i % 5 < 2).alias("organic"),
+        F.when(i % 23 == 0, "c1").alias("campaign_id"),
+        F.when(i % 2 == 1, F.concat(F.lit("m"), (i % 3).cast("string"))).alias("model"),
+        F.when(i % 29 == 0, "s1").alias("session_id"),
         i.alias("seq"),
     )
 
@@ -50,7 +53,8 @@ OBSERVATIONS_SQL = """
         event_id % 7 <> 0 AS answer_complete,
         CASE WHEN event_id % 9 = 0 THEN NULL WHEN event_id % 4 = 1 THEN 'partial' ELSE 'complete' END AS coverage,
         CASE WHEN event_id % 10 <> 0 THEN value > 50 END AS cited, CASE WHEN event_id % 8 <> 0 THEN event_id % 3 = 0 END AS mentioned,
-        CASE WHEN event_id % 12 <> 0 THEN event_id % 5 < 2 END AS organic, event_id AS seq FROM events),
+        CASE WHEN event_id % 12 <> 0 THEN event_id % 5 < 2 END AS organic,
+        CASE WHEN event_id % 23 = 0 THEN 'c1' END AS campaign_id, CASE WHEN event_id % 2 = 1 THEN 'm' || event_id % 3 END AS model, CASE WHEN event_id % 29 = 0 THEN 's1' END AS session_id, event_id AS seq FROM events),
     k AS (SELECT *, outcome = 'observed' AND answer_complete AND (coalesce(coverage, 'unknown') = 'complete' OR coalesce(cited, false)) AND cited IS NOT NULL AS known FROM o)
 """
 

@@ -5,7 +5,8 @@ which of the chosen words, and beginnings of words, a text holds. The output is
 P(grade >= k), with the likeliest grade; a text is toxic if P(grade >= 1) is a half or more.
 
 Labels say only whether a text is toxic. Grade 0 is a clean text; toxic ones get grades 1 to 3 by thirds of
-the number of features in them that mark toxic texts. Words are runs of letters, lower-cased. The model is fitted
+how toxic they look to log-odds of words counted in the other half of the labelled texts, so a text's grade says what texts
+without it say about its words. Words are runs of letters, lower-cased. The model is fitted
 on at most SAMPLE_ROWS labelled texts (those of the smallest hashes of their ids; of texts
 whose word sets have the same four min-hashes, copies as a rule, one) and on the FEATURES words that tell the classes apart best in it; scoring covers every text.
 
@@ -86,6 +87,17 @@ def fit(row: np.ndarray, word: np.ndarray, grade: np.ndarray, n_words: int, roun
     return weights, np.cumsum(np.concatenate([free[:1], np.exp(free[1:])]))
 
 
+def grades(row: np.ndarray, word: np.ndarray, bad: np.ndarray, half: np.ndarray, n_words: int) -> np.ndarray:
+    """Grades of labelled texts: 0 for clean ones, and thirds of the toxic ones by how toxic a text looks to log-odds of words that are counted in the other half of the texts only."""
+    score = np.zeros(len(bad))
+    for own in (half, ~half):
+        other = ~own
+        in_bad, in_clean = (np.bincount(word[(other & side)[row]], minlength=n_words) + 0.5 for side in (bad, ~bad))
+        odds = np.log(in_bad / ((other & bad).sum() + 1)) - np.log(in_clean / ((other & ~bad).sum() + 1))
+        score[own] = np.bincount(row, odds[word], minlength=len(bad))[own]
+    return np.where(bad, 1 + np.searchsorted(np.quantile(score[bad], [1 / 3, 2 / 3]), score, "left"), 0)
+
+
 def _hashed(seed: int):
     return lambda word: F.xxhash64(word, F.lit(seed))
 
@@ -95,16 +107,16 @@ def train(docs: DataFrame, labels: DataFrame, sample_rows: int = SAMPLE_ROWS) ->
     text_batches(docs.sparkSession)
     known = labels.where("doc_id is not null and toxic is not null").groupBy(F.col("doc_id").cast("long").alias("doc_id")).agg(F.max("toxic").cast("int").alias("toxic"))
     sample = written(known.orderBy(F.xxhash64("doc_id"), "doc_id").limit(sample_rows), "labels")
-    texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").join(F.broadcast(sample), "doc_id").select("toxic", "text")
+    texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").join(F.broadcast(sample), "doc_id").select("doc_id", "toxic", "text")
 
     def words(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            sets = [sorted(features(x)) for x in b.column(1).to_pylist()]
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(sets, pa.list_(pa.string()))], ["toxic", "words"])
+            sets = [sorted(features(x)) for x in b.column(2).to_pylist()]
+            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(sets, pa.list_(pa.string()))], ["doc_id", "toxic", "words"])
 
-    sets = texts.mapInArrow(words, "toxic int, words array<string>")
+    sets = texts.mapInArrow(words, "doc_id long, toxic int, words array<string>")
     least = [F.array_min(F.transform("words", _hashed(seed))) for seed in range(4)]
-    sets = written(sets.groupBy(F.xxhash64(*least).alias("key")).agg(F.max("toxic").alias("toxic"), F.first("words").alias("words")), "wordsets")
+    sets = written(sets.groupBy(F.xxhash64(*least).alias("key")).agg(F.max("toxic").alias("toxic"), F.min("doc_id").alias("doc_id"), F.min_by("words", F.struct("doc_id", "words")).alias("words")), "wordsets")
     size = sets.agg(F.count_if(F.col("toxic") == 0), F.count_if(F.col("toxic") > 0)).first()
     clean, toxic = (int(x) for x in size)
     if not clean or not toxic:
@@ -114,22 +126,20 @@ def train(docs: DataFrame, labels: DataFrame, sample_rows: int = SAMPLE_ROWS) ->
     spread = F.sqrt(1 / (F.col("t") + 0.5) + 1 / (F.col("c") + 0.5))
     chosen = each.withColumn("odds", odds).orderBy(F.desc(F.abs(odds / spread)), "word").limit(FEATURES).collect()  # at most FEATURES rows
     index = {r.word: i for i, r in enumerate(chosen)}
-    marking = np.array([r.odds > 2 for r in chosen], bool)
 
     def marks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             rows = b.column(1).to_pylist()
             found = [[index[w] for w in x or [] if w in index] for x in rows]
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(found, pa.list_(pa.int32()))], ["toxic", "found"])
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(found, pa.list_(pa.int32())), b.column(2)], ["toxic", "found", "doc_id"])
 
-    data = sets.select("toxic", "words").mapInArrow(marks, "toxic int, found array<int>").toArrow()  # at most sample_rows rows of chosen words
+    data = sets.select("toxic", "words", "doc_id").mapInArrow(marks, "toxic int, found array<int>, doc_id long").sort("doc_id").toArrow()  # at most sample_rows rows of chosen words
     found = data["found"].combine_chunks()
     per_row = found.value_lengths().to_numpy(zero_copy_only=False)
     word = found.flatten().to_numpy(zero_copy_only=False)
     row = np.repeat(np.arange(len(per_row)), per_row)
     bad = data["toxic"].to_numpy() > 0
-    number = np.bincount(row, marking[word], minlength=len(bad))
-    grade = np.where(bad, 1 + np.searchsorted(np.quantile(number[bad], [1 / 3, 2 / 3]), number, "left"), 0)
+    grade = grades(row, word, bad, data["doc_id"].to_numpy() % 2 == 0, len(index))
     weights, thresholds = fit(row, word, grade, len(index))
     return Model(index, weights, thresholds)
 

@@ -220,3 +220,71 @@ def numbered(rows: DataFrame, by: list[str], order: str, step: int = 10_000) ->
     before = counts.withColumn("_before", F.coalesce(F.sum("n").over(Window.partitionBy(*by).orderBy("_piece").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))).drop("n")
     own = Window.partitionBy(*by, "_piece").orderBy(order)
     return rows.join(before, [*by, "_piece"]).withColumn("turn", (F.row_number().over(own) + F.col("_before")).cast("int")).drop("_piece", "_before")
+
+
+def collector_tally(rows: DataFrame) -> DataFrame:
+    """(question_id, engine) with runs, hits, errors and unusable answers of a collector."""
+    return rows.groupBy("question_id", "engine").agg(F.count("*").alias("runs"), F.count_if(F.coalesce("cited", F.lit(False)) & (F.col("outcome") == "observed")).alias("hits"), F.count_if(F.col("outcome") == "error").alias("errors"), F.count_if(F.col("outcome").isin("unmeasured", "blocked", "partial")).alias("unusable"))
+
+
+def queue_status(slots: DataFrame, states: list[str]) -> DataFrame:
+    """One row: slots by state, and how many are claimed without an end, to be reconciled by hand."""
+    return slots.agg(*[F.count_if(F.col("status") == s).alias(s) for s in states], F.count_if((F.col("status") == "claimed") & F.col("submitted_at").isNotNull()).alias("to_reconcile"))
+
+
+def channel_states(channels: DataFrame, rows: DataFrame) -> DataFrame:
+    """(channel, state): observed where any run on it was observed, else unmeasured."""
+    by = rows.groupBy("channel").agg(F.bool_or(F.col("outcome") == "observed").alias("seen"))
+    return channels.join(by, "channel", "left").select("channel", F.when(F.col("seen"), "observed").otherwise("unmeasured").alias("state"))
+
+
+def coverage_reasons(sites: DataFrame) -> DataFrame:
+    """sites (site, remaining, robots_state, failed_sitemaps, truncated) with the sorted reasons why a crawl proves no absence; none means it is complete."""
+    reasons = F.array_compact(F.array(F.when(F.col("remaining") > 0, "page_limit"), F.when(F.col("robots_state") == "unreachable", "robots_unreachable"), F.when(F.col("failed_sitemaps") > 0, "sitemap_failed"), F.when(F.col("truncated") > 0, "body_truncated")))
+    return sites.select("site", F.array_sort(reasons).alias("reasons"), (F.size(reasons) == 0).alias("complete"))
+
+
+def review_counts(issues: DataFrame, pages: DataFrame) -> DataFrame:
+    """(page, issues, manual) of every page: found issues, and those that only a person can settle."""
+    by = issues.groupBy("page").agg(F.count_if(~F.col("manual")).alias("issues"), F.count_if("manual").alias("manual"))
+    return pages.join(by, "page", "left").fillna(0, ["issues", "manual"]).select("page", "issues", "manual")
+
+
+def question_scope(questions: DataFrame) -> DataFrame:
+    """questions (id, kind, text) with why they are left out of a protocol: brand questions and drafts; null for those that are in."""
+    reason = F.when(F.col("kind") != "nonbrand", "brand").when(F.contains("text", F.lit("<<TODO")), "draft")
+    return questions.select("id", reason.alias("excluded"))
+
+
+def review_candidates(urls_: DataFrame, origin: str, most: int = 30) -> DataFrame:
+    """The first different URLs of the origin, in their order; the number is the feature."""
+    own = urls_.where(F.startswith("url", F.lit(origin + "/")) | (F.col("url") == origin)).groupBy("url").agg(F.min("place").alias("place"))
+    return own.orderBy("place", "url").limit(most)
+
+
+def faq_targets(items: DataFrame, crawled: DataFrame) -> DataFrame:
+    """items (id, url) with why they get no markup: no_url, not_crawled or not_ok; null for those that do."""
+    state = crawled.groupBy("url").agg(F.max((F.col("status") == 200).cast("int")).alias("ok"))
+    out = items.join(state, "url", "left")
+    return out.select("id", F.when(F.coalesce("url", F.lit("")) == "", "no_url").when(F.col("ok").isNull(), "not_crawled").when(F.col("ok") == 0, "not_ok").alias("skipped"))
+
+
+def research_ids(pages: DataFrame, hits: DataFrame, runs: DataFrame) -> DataFrame:
+    """pages (url) with the ids of discovery hits and of observed runs of their URL, sorted, each once."""
+    ids = lambda df, name: df.groupBy("url").agg(F.array_sort(F.collect_set("id")).alias(name))
+    none = F.array().cast("array<bigint>")
+    out = pages.select("url").distinct().join(ids(hits, "hits"), "url", "left").join(ids(runs, "runs"), "url", "left")
+    return out.select("url", F.coalesce("hits", none).alias("hits"), F.coalesce("runs", none).alias("runs"))
+
+
+def from_log(rows: DataFrame, questions: DataFrame) -> DataFrame:
+    """Observed citations of a log as evidence: of questions with their present fingerprint, not by API, with search, finished; one row for each URL, with an id that does not change."""
+    usable = (F.col("mode") != "api") & F.col("search_enabled") & (F.col("outcome") == "observed") & F.col("answer_complete")
+    each = measure.compatible(rows.drop("kind"), questions).where(F.col("compatible") & usable).select("seq", "date", "question_id", "engine", F.explode(F.array_distinct("cited_urls")).alias("url"))
+    return each.withColumn("id", F.left(F.sha2(F.concat_ws("|", "date", F.col("question_id").cast("string"), "engine", F.col("seq").cast("string"), "url"), 256), F.lit(16)))
+
+
+def stale_slots(queue: DataFrame, protocol: DataFrame, key: list[str]) -> DataFrame:
+    """(key, state) of slots that queue and protocol do not share: gone from the protocol, or not yet in the queue. None means the queue is current."""
+    a, b = queue.select(*key).distinct(), protocol.select(*key).distinct()
+    return a.join(b, key, "left_anti").withColumn("state", F.lit("gone")).unionByName(b.join(a, key, "left_anti").withColumn("state", F.lit("missing")))

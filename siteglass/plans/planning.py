@@ -258,3 +258,77 @@ def n11_costs(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query(f"{O} SELECT engine AS kind, max(date) AS last, date_diff('day', DATE '2024-02-10', max(date) + 14)::INTEGER AS due_in, date_diff('day', DATE '2024-02-10', max(date) + 14) < 0 AS overdue FROM o GROUP BY engine")
 def z12_days_left(spark: SparkSession, sf_dir: str) -> DataFrame:
     return planning.days_left(observations(spark, sf_dir).select(F.col("engine").alias("kind"), "date"), F.lit("2024-02-10").cast("date"))
+
+
+@query(f"{O} SELECT question_id, engine, count(*) AS runs, count(*) FILTER (coalesce(cited, false) AND outcome = 'observed') AS hits, count(*) FILTER (outcome = 'error') AS errors, count(*) FILTER (outcome IN ('unmeasured', 'blocked', 'partial')) AS unusable FROM o GROUP BY ALL")
+def a32_collector(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return planning.collector_tally(observations(spark, sf_dir))
+
+
+@query("SELECT count(*) FILTER (user_id % 3 = 0) AS pending, count(*) FILTER (user_id % 3 = 1) AS claimed, count(*) FILTER (user_id % 3 = 2) AS complete, count(*) FILTER (user_id % 3 = 1 AND event_id % 2 = 0) AS to_reconcile FROM events")
+def a37_queue(spark: SparkSession, sf_dir: str) -> DataFrame:
+    u = F.col("user_id") % 3
+    return planning.queue_status(table(spark, sf_dir, "events").select(F.when(u == 0, "pending").when(u == 1, "claimed").otherwise("complete").alias("status"), F.when(F.col("event_id") % 2 == 0, F.col("ts")).alias("submitted_at")), ["pending", "claimed", "complete"])
+
+
+@query(f"{O} SELECT c.channel, CASE WHEN c.channel IN (SELECT engine FROM o WHERE outcome = 'observed' AND engine <> 'click') THEN 'observed' ELSE 'unmeasured' END AS state FROM (SELECT unnest(['view', 'click', 'maps']) AS channel) c")
+def a40_channels(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = observations(spark, sf_dir).where("engine <> 'click'").withColumnRenamed("engine", "channel")
+    return planning.channel_states(spark.createDataFrame([("view",), ("click",), ("maps",)], "channel string"), rows)
+
+
+@query("""SELECT s_suppkey AS site, list_sort(list_filter([CASE WHEN s_suppkey % 2 = 0 THEN 'page_limit' END, CASE WHEN s_suppkey % 3 = 0 THEN 'robots_unreachable' END, CASE WHEN s_suppkey % 5 = 0 THEN 'sitemap_failed' END, CASE WHEN s_suppkey % 7 = 0 THEN 'body_truncated' END], lambda x: x IS NOT NULL)) AS reasons,
+    s_suppkey % 2 <> 0 AND s_suppkey % 3 <> 0 AND s_suppkey % 5 <> 0 AND s_suppkey % 7 <> 0 AS complete FROM supplier""")
+def a41_coverage(spark: SparkSession, sf_dir: str) -> DataFrame:
+    k = F.col("s_suppkey")
+    mark = lambda n: F.when(k % n == 0, 1).otherwise(0)
+    return planning.coverage_reasons(table(spark, sf_dir, "supplier").select(k.alias("site"), mark(2).alias("remaining"), F.when(k % 3 == 0, "unreachable").otherwise("ok").alias("robots_state"), mark(5).alias("failed_sitemaps"), mark(7).alias("truncated")))
+
+
+@query("SELECT o_orderkey AS page, count(*) FILTER (l_linenumber % 3 <> 0) AS issues, count(*) FILTER (l_linenumber % 3 = 0) AS manual FROM orders LEFT JOIN (SELECT * FROM lineitem WHERE l_suppkey % 2 = 0) ON l_orderkey = o_orderkey GROUP BY o_orderkey")
+def a45_review(spark: SparkSession, sf_dir: str) -> DataFrame:
+    issues = table(spark, sf_dir, "lineitem").where("l_suppkey % 2 = 0").select(F.col("l_orderkey").alias("page"), (F.col("l_linenumber") % 3 == 0).alias("manual"))
+    return planning.review_counts(issues, table(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("page")))
+
+
+@query("SELECT event_id AS id, CASE WHEN event_type = 'view' THEN 'brand' WHEN event_id % 4 = 0 THEN 'draft' END AS excluded FROM events")
+def p13_scope(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return planning.question_scope(table(spark, sf_dir, "events").select(F.col("event_id").alias("id"), F.when(F.col("event_type") == "view", "brand").otherwise("nonbrand").alias("kind"), F.when(F.col("event_id") % 4 == 0, "<<TODO ask>>").otherwise("what").alias("text")))
+
+
+@query("SELECT url, min(page_id) AS place FROM (SELECT page_id, 'https://h.org/' || page_id % 40 AS url FROM pages WHERE page_id % 3 <> 0 UNION ALL SELECT page_id, url FROM pages) WHERE starts_with(url, 'https://h.org/') GROUP BY url ORDER BY place, url LIMIT 30")
+def p16_candidates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    p, i = table(spark, sf_dir, "pages"), F.col("page_id")
+    own = p.where(i % 3 != 0).select(i.alias("place"), F.concat(F.lit("https://h.org/"), (i % 40).cast("string")).alias("url"))
+    return planning.review_candidates(own.unionByName(p.select(i.alias("place"), "url")), "https://h.org")
+
+
+@query("""SELECT c_custkey AS id, CASE WHEN c_custkey % 5 = 0 THEN 'no_url' WHEN c_custkey % 5 = 1 THEN 'not_crawled' WHEN c_custkey % 2 = 0 THEN 'not_ok' END AS skipped FROM customer""")
+def j20_targets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    c, k = table(spark, sf_dir, "customer"), F.col("c_custkey")
+    items = c.select(k.alias("id"), F.when(k % 5 != 0, k.cast("string")).alias("url"))
+    return planning.faq_targets(items, c.where(k % 5 != 1).select(k.cast("string").alias("url"), F.when(k % 2 == 0, 404).otherwise(200).alias("status")))
+
+
+@query("""SELECT user_id AS url, coalesce(list_sort(list(DISTINCT event_id) FILTER (event_id % 50 = 0)), []) AS hits, coalesce(list_sort(list(DISTINCT event_id) FILTER (event_id % 70 = 0)), []) AS runs FROM events GROUP BY user_id""")
+def j21_research(spark: SparkSession, sf_dir: str) -> DataFrame:
+    e = table(spark, sf_dir, "events").select(F.col("user_id").alias("url"), F.col("event_id").alias("id"))
+    return planning.research_ids(e, e.where("id % 50 = 0"), e.where("id % 70 = 0"))
+
+
+@query(f"""{O}, u AS (SELECT seq, date, question_id, engine, unnest(['http://a/' || seq % 3, 'http://b/']) AS url FROM o WHERE mode <> 'api' AND search_enabled AND outcome = 'observed' AND answer_complete AND fingerprint = sha256('brand' || chr(10) || question_id))
+    SELECT seq, url, left(sha256(strftime(date, '%Y-%m-%d') || '|' || question_id || '|' || engine || '|' || seq || '|' || url), 16) AS id FROM u""")
+def s23_evidence(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = observations(spark, sf_dir).withColumn("mode", F.when(F.col("seq") % 2 == 1, "manual").otherwise("api"))
+    q = rows.select("question_id").distinct().select("question_id", F.sha2(F.concat_ws("\n", F.lit("brand"), F.col("question_id").cast("string")), 256).alias("fingerprint"), F.lit("brand").alias("kind"))
+    cited = F.array(F.concat(F.lit("http://a/"), (F.col("seq") % 3).cast("string")), F.lit("http://b/"), F.lit("http://b/"))
+    return planning.from_log(rows.withColumn("cited_urls", cited), q).select("seq", "url", "id")
+
+
+ORACLES["s23_evidence"] = ORACLES["s23_evidence"].replace("WHERE mode <> 'api' AND", "WHERE seq % 2 = 1 AND")
+
+
+@query("SELECT o_orderkey AS slot, CASE WHEN o_orderkey % 5 = 0 THEN 'gone' ELSE 'missing' END AS state FROM orders WHERE (o_orderkey % 5 = 0) <> (o_orderkey % 7 = 0)")
+def r08_stale(spark: SparkSession, sf_dir: str) -> DataFrame:
+    o, k = table(spark, sf_dir, "orders"), F.col("o_orderkey")
+    return planning.stale_slots(o.where(k % 7 != 0).select(k.alias("slot")), o.where(k % 5 != 0).select(k.alias("slot")), ["slot"])

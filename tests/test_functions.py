@@ -51,3 +51,18 @@ def test_last_write_wins_stream(spark, tmp_path):
     q = stream.writeStream.outputMode("complete").format("memory").queryName("latest_log").trigger(availableNow=True).start()
     q.awaitTermination()
     assert {(r.k, r.v) for r in spark.table("latest_log").collect()} == {("a", "z"), ("b", "y")}
+
+
+def test_arrow_functions(spark):
+    from siteglass.functions import arrow
+
+    cases = {
+        arrow.folded: [("Ｓtraße   ﬁ", "strasse fi"), (None, None)],
+        arrow.address_class: [("8.8.8.8", "public"), ("10.0.0.1", "private"), ("::1", "loopback"), ("::ffff:127.0.0.1", "loopback"), ("169.254.1.1", "link_local"), ("0.0.0.0", "unspecified"), ("host", None)],
+        arrow.public_url: [("https://example.org/a", True), ("http://8.8.8.8/", True), ("http://10.0.0.1/", False), ("http://u@example.org/", False), ("http://example.org/#x", False), ("ftp://example.org", False), ("http://localhost/", False), ("http://a.local/", False), ("http://one/", False), ("http://bücher.de/", True), (None, False)],
+        arrow.discovery_key: [("HTTP://Bücher.de:80/a?b#c", "http://xn--bcher-kva.de/a?b"), ("https://h.org:444", "https://h.org:444/"), ("/a", None)],
+    }
+    for f, rows in cases.items():
+        df = spark.createDataFrame([(i, x) for i, (x, _) in enumerate(rows)], "i int, x string")
+        got = [r.y for r in df.select("i", f("x").alias("y")).orderBy("i").collect()]
+        assert got == [y for _, y in rows]

@@ -21,7 +21,7 @@ SPACE[[32, 9, 10, 11, 12, 13]] = True
 _LOWER = np.arange(256)
 _LOWER[65:91] += 32
 _LOWER_VALUES = _VALUES[_LOWER]
-SLICE_BYTES = 4_000_000
+SLICE_BYTES = 1_000_000
 _powers: list[np.ndarray] = [np.ones(1, U), np.ones(1, U)]
 
 

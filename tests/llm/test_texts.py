@@ -30,6 +30,33 @@ def test_toxicity_held_out_accuracy(spark):
     assert all(a <= b for a, b in zip(model.thresholds, model.thresholds[1:], strict=False))
 
 
+def test_severity_ranks_texts_that_the_model_has_not_seen(spark):
+    """Expected severity of held-out toxic texts follows log-odds of words counted in texts that were not used to fit the model."""
+    import numpy as np
+
+    d, labels = table(spark, "/root/testdata/sf0.1", "documents"), table(spark, "/root/testdata/sf0.1", "labels")
+    model = toxicity.train(d, labels.where("doc_id % 3 = 0"))
+    rows = d.join(labels.where("doc_id % 3 <> 0").select("doc_id", "toxic"), "doc_id").select("doc_id", "text", "toxic").collect()
+    seen = {r.doc_id: toxicity.features(r.text) & model.words.keys() for r in rows}
+    other = [r for r in rows if r.doc_id % 3 == 1]
+    bad, clean = Counter(), Counter()
+    for r in other:
+        (bad if r.toxic else clean).update(seen[r.doc_id])
+    n_bad, n_clean = sum(r.toxic for r in other), sum(not r.toxic for r in other)
+    odds = lambda w: math.log((bad[w] + 0.5) / (n_bad + 1)) - math.log((clean[w] + 0.5) / (n_clean + 1))
+    held = [r for r in rows if r.doc_id % 3 == 2 and r.toxic]
+    got = {r.doc_id: r.expected_severity for r in toxicity.severity(d.join(labels.where("doc_id % 3 = 2 and toxic = 1").select("doc_id"), "doc_id"), model).collect()}
+    x, y = [sum(map(odds, seen[r.doc_id])) for r in held], [got[r.doc_id] for r in held]
+    rank = lambda v: np.argsort(np.argsort(v))
+    assert len(held) > 50 and np.corrcoef(rank(x), rank(y))[0, 1] > 0.5
+
+
+def test_toxicity_is_the_same_on_every_run(spark):
+    d, labels = table(spark, SF, "documents"), table(spark, SF, "labels")
+    a, b = toxicity.train(d, labels), toxicity.train(d.repartition(7), labels.repartition(3))
+    assert a.words == b.words and (a.weights == b.weights).all() and (a.thresholds == b.thresholds).all()
+
+
 def test_toxicity_odd_inputs(spark):
     labels = table(spark, SF, "labels")
     odd = odd_docs(spark)
@@ -48,12 +75,32 @@ def test_curriculum_agrees_with_sql(spark):
     got = [tuple(r) for r in curriculum.op4_curriculum(spark, SF).collect()]
     assert sorted(got) == sorted(want)
     by = {}
-    for _, size, source_size, target, taken in got:
+    for _, size, source_size, target, taken, position, passes in got:
+        assert (position is None) == (taken == 0) == (passes == 0)
         assert taken <= 2 * size
         by.setdefault((source_size, target), [0])[0] += taken
     assert all(abs(v[0] - target) <= 1 for (_, target), v in by.items())
 
 
+def test_curriculum_follows_its_schedules(spark):
+    """Sources have their words where their schedules want them, and positions run over the whole mix."""
+    rows = [(i, "w " * 50, "abc"[i % 3]) for i in range(600)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, source string")
+    for schedules in (curriculum.SCHEDULES, (curriculum.SCHEDULES[2], curriculum.SCHEDULES[1], curriculum.SCHEDULES[0])):
+        got = curriculum.curriculum(docs, schedules=schedules).collect()
+        kind = {r.doc_id: r.doc_id % 3 for r in got}
+        total = sum(r.taken for r in got)
+        assert {r.mix_size for r in got} == {total}
+        begins = sorted((p * total, min(r.size, r.taken), kind[r.doc_id]) for r in got for p in r.positions)
+        # what has been taken before a position is about that position
+        seen = 0
+        for p, n, _ in begins:
+            assert abs(seen - p) <= 200
+            seen += n
+        early = sum(n for p, n, k in begins if k == 0 and p < total / 2) / sum(n for _, n, k in begins if k == 0)
+        assert early > 0.55 if schedules[0][0][1] > 1 else early < 0.45
+
+
 def test_curriculum_odd_inputs(spark):
     got = curriculum.curriculum(odd_docs(spark)).collect()
     assert len(got) == odd_docs(spark).count()
@@ -105,6 +152,33 @@ def test_similarity_classes_on_edits(spark, width, percent):
     assert got == classes(rows, width, percent)
 
 
+@pytest.mark.parametrize("sets,shingles", [(5, 10**9), (1000, 400)])
+def test_large_clusters_are_compared_in_tiles(spark, sets, shingles):
+    rows = similar_docs()
+    got = ngram_join.similarity_classes(spark.createDataFrame(rows, "doc_id long, text string"), 4, 85, sets=sets, shingles=shingles)
+    assert {r.doc_id: (r.n_shingles, r.component_id) for r in got.collect()} == classes(rows, 4, 85)
+
+
+def test_sketches_rule_out_no_similar_pair():
+    import numpy as np
+
+    rng = np.random.default_rng(1)
+    for _ in range(40):
+        base, sets = np.unique(rng.integers(0, 2**63, int(rng.integers(5, 3000)), dtype=np.uint64)), []
+        for _ in range(int(rng.integers(2, 30))):
+            kept = rng.permutation(base)[: int(len(base) * rng.uniform(0.6, 1))]
+            sets.append(np.unique(np.concatenate([kept, rng.integers(0, 2**63, int(rng.integers(0, max(1, len(base) // 4))), dtype=np.uint64)])))
+        n, sketches = np.array([len(s) for s in sets]), [ngram_join.parities(s) for s in sets]
+        root = np.arange(len(sets))
+        for x, y in zip(*ngram_join.may_be_similar(n, sketches, 80), strict=True):
+            root[root == root[x]] = root[y]
+        for i in range(len(sets)):
+            for j in range(i):
+                both = len(np.intersect1d(sets[i], sets[j]))
+                assert ngram_join._apart(sketches[i], sketches[j]) <= n[i] + n[j] - 2 * both
+                assert root[i] == root[j] or both * 100 < 80 * (n[i] + n[j] - both)
+
+
 def test_similarity_classes_on_documents(spark, docs):
     got = {r.doc_id: (r.n_shingles, r.component_id) for r in ngram_join.op6_ngram_join(spark, SF).collect()}
     assert got == classes(docs, 4, 85)
@@ -219,6 +293,34 @@ def test_attention_learns_what_pairs_do_not_show():
     assert m.score(new).sum() / sum(len(t) + 1 for t in new) > math.log10(1 / 12) + 0.2
 
 
+def test_scores_agree_with_plain_loops():
+    """The score of a text, token by token, from the model's parameters and the rule of its windows, without arrays of windows."""
+    import numpy as np
+
+    L = attention_lm
+    rng = np.random.default_rng(3)
+    m = L.train([rng.integers(0, 2000, 70).astype(np.uint16) for _ in range(60)], 3000, steps=30)
+    p = {k: v.astype(float) for k, v in m.p.items()}
+
+    def softmax(z):
+        z = np.exp(np.array(z) - max(z))
+        return z / z.sum()
+
+    for n in (0, 1, 17, 18, 19, 50):
+        ids = rng.integers(0, 3000, n).astype(np.uint16)
+        given = [L.BEGIN, *[int(m.slot_of[i]) for i in ids]]
+        wanted = [*given[1:], L.END]
+        total = sum(float(m.tail[i]) for i in ids)
+        for j, y in enumerate(wanted):
+            seen = range(max(0, j // L.SCORED * L.SCORED - L.SEEN), j + 1)
+            query = p["e"][given[j]] @ p["q"]
+            weight = softmax([query @ (p["e"][given[i]] @ p["k"]) / L.WIDTH**0.5 + p["near"][j - i] for i in seen])
+            h = p["e"][given[j]] + sum(w * (p["e"][given[i]] @ p["v"]) for w, i in zip(weight, seen, strict=True))
+            cluster = y // L.PER
+            total += math.log(softmax(h @ p["c"] + p["cb"])[cluster]) + math.log(softmax(h @ p["w"][cluster] + p["wb"][cluster])[y % L.PER])
+        assert m.score([ids])[0] == pytest.approx(total / math.log(10), rel=1e-4, abs=1e-3)
+
+
 def test_attention_probabilities_sum_to_one():
     import numpy as np
 
@@ -282,6 +384,13 @@ def test_pipeline_mixes_rows_with_null_and_repeated_ids(spark):
     assert got == +want and any(i is None for i, _ in got)
 
 
+def clashing(docs):
+    """docs with columns of the names that operators and stages use themselves."""
+    from pyspark.sql import functions as F
+
+    return docs.withColumns({c: F.lit(7) for c in ("positions", "position", "_id", "_copy", "_row", "spans", "severity", "expected_severity", "n_bytes", "n_removed", "n_spans", "component_id", "own", "label", "tile", "mix_size")})
+
+
 @pytest.mark.parametrize("make", [odd_docs, no_docs])
 def test_pipeline_takes_odd_inputs(spark, make):
     import corpus_pipeline as p
@@ -290,3 +399,37 @@ def test_pipeline_takes_odd_inputs(spark, make):
     for _, stage in p.STAGES[1:]:
         stage(spark, d, SF).count()
     assert DOCS.split()[0] in d.columns
+
+
+@pytest.mark.parametrize("make", [odd_docs, no_docs])
+def test_pipeline_keeps_columns_of_any_name(spark, make):
+    """All stages in turn, toxicity included, on nulls, repeats and clashing names: columns keep their values, and only what should go goes."""
+    import corpus_pipeline as p
+
+    d = clashing(make(spark))
+    before = d.collect()
+    clean = p.without_toxic(spark, d, SF).collect()
+    assert sorted(map(str, clean)) == sorted(map(str, before))
+    d = p.one_of_each_class(spark, d, SF)
+    rows = d.collect()
+    assert set(map(str, rows)) <= set(map(str, before))
+    if before:
+        kept = [(r.doc_id, r.text) for r in rows]
+        assert len(set(kept)) == len(kept) and {i for i, _ in kept} == {1, 2, 3, 4, 6, None, 8, 10, 11, 12}
+    cut = p.without_repeats(spark, d, SF).collect()
+    assert len(cut) == len(rows) and all(r.positions == r._id == 7 for r in cut)
+    mixed = p.mixed(spark, d, SF)
+    assert mixed.columns == d.columns and all(r.position == r._row == 7 and words(r.text) for r in mixed.collect())
+    out = p.encoded(spark, d, SF).collect()
+    assert len(out) == len(rows) and all(r.severity == r.tile == 7 for r in out)
+
+
+def test_pipeline_runs_end_to_end(spark, tmp_path):
+    import corpus_pipeline as p
+
+    for name in ("documents", "labels"):
+        table(spark, SF, name).write.parquet(f"{tmp_path}/{name}.parquet")
+    out = p.run(spark, str(tmp_path))
+    assert out.count() > 0 and {"n_tokens", "ids_sha256", "decoded_sha256"} <= set(out.columns)
+    table(spark, SF, "documents").where("false").write.mode("overwrite").parquet(f"{tmp_path}/documents.parquet")
+    assert p.run(spark, str(tmp_path)).count() == 0

@@ -4,8 +4,12 @@ A vector is the sum of one full-dimensional codeword from each codebook. The cod
 bounded sample (SAMPLE_ROWS rows, those of the smallest hashes of their ids): by k-means on what earlier
 ones leave, then jointly by least squares on beam-searched codes. Every row is encoded by beam search over
 the codebooks and stored with the squared norm of its approximation. A query's inner products with all
-codewords make a lookup table; a row's approximate score is the sum of its codes' entries. The best
-candidates of every tile are scored again exactly, in double precision, component by component in order.
+codewords make a lookup table, two codebooks to an entry; a row's approximate score is the sum of its codes' entries.
+
+Queries come in broadcast blocks of bounded size, and rows are read where they lie. A first pass over codes and norms finds,
+for each query, the approximate score that RERANKED rows of the whole table reach (or a little less, as a task
+sends only so many of its best as a few times its even share); a second pass scores the rows that reach it exactly, in double
+precision, component by component in order.
 
 Nearness is the inner product ("ip") or the squared distance ("l2", which uses the stored norms; its score
 is the negative distance). Vectors that are null or zero, or hold nulls or values that are not finite,
@@ -24,13 +28,14 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from .common import table, written
-from .tiles import PAIR_BATCH_ROWS, best, matrix, same_width, tiles, vectors
+from .tiles import Kept, best, blocks, matrix, same_width, vectors
 
-SAMPLE_ROWS = 16_384
-BOOKS, WORDS, BEAM = 16, 128, 4
-TILE_ROWS, QUERY_ROWS = 8192, 1024
-#: Candidates of a tile that are scored exactly, for each query.
-RERANKED = 512
+SAMPLE_ROWS = 8192
+#: Codebooks (an even number) and their codewords; two codes of 16 words are a byte.
+BOOKS, WORDS, BEAM = 48, 16, 3
+TILE_ROWS, QUERY_ROWS = 8192, 8192
+#: Rows of the whole table that are scored exactly, for each query.
+RERANKED = 256
 
 
 def encode(x: np.ndarray, books: np.ndarray, beam: int = BEAM) -> np.ndarray:
@@ -75,12 +80,9 @@ def fit(x: np.ndarray, books: int = BOOKS, words: int = WORDS, rounds: int = 4,
         out.append(c)
     out = np.stack(out)
     codes = encode(x, out).astype(np.int64) + np.arange(books) * words
-    gram = np.zeros((books * words,) * 2, np.float32)
-    right = np.zeros((books * words, x.shape[1]), np.float32)
-    for i in range(books):
-        np.add.at(right, codes[:, i], x)
-        for j in range(books):
-            np.add.at(gram, (codes[:, i], codes[:, j]), 1)
+    chosen = np.zeros((len(x), books * words), np.float32)
+    np.put_along_axis(chosen, codes, 1, 1)
+    gram, right = chosen.T @ chosen, chosen.T @ x
     return np.linalg.solve(gram + np.eye(len(gram), dtype=np.float32) * 0.1, right + 0.1 * out.reshape(len(gram), -1)).reshape(out.shape).astype(np.float32)
 
 
@@ -103,61 +105,78 @@ def index(rows: DataFrame, books: np.ndarray) -> DataFrame:
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            ids, x = matrix(pa.scalar(pa.StructArray.from_arrays(b.columns[:2], ["id", "v"]).to_pylist(), pa.list_(pa.struct([("id", pa.int64()), ("v", pa.list_(pa.float64()))]))))
+            _, x = matrix(b.column(0), b.column(1))
             x = np.pad(x, ((0, 0), (0, max(0, width - x.shape[1]))))[:, :width].astype(np.float32)
             codes = np.concatenate([encode(x[i : i + 2048], books) for i in range(0, len(x), 2048)]) if len(x) else np.zeros((0, len(books)), np.uint8)
             norm = (decode(codes, books).astype(np.float64) ** 2).sum(1) if len(x) else np.zeros(0)
-            yield pa.RecordBatch.from_arrays([*b.columns, pa.array([c.tobytes() for c in codes], pa.binary()), pa.array(norm)], ["id", "v", "members", "codes", "norm"])
+            packed = (codes[:, ::2] * books.shape[1] + codes[:, 1::2]).astype(np.uint8)
+            yield pa.RecordBatch.from_arrays([*b.columns, pa.array([c.tobytes() for c in packed], pa.binary()), pa.array(norm)], ["id", "v", "members", "codes", "norm"])
 
     return rows.mapInArrow(work, "id long, v array<double>, members array<long>, codes binary, norm double")
 
 
-def nearest_in_tile(members: np.ndarray, ends: np.ndarray, x: np.ndarray, codes: np.ndarray, norm: np.ndarray, query_ids: np.ndarray, q: np.ndarray, books: np.ndarray, k: int, reranked: int, measure: str) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
-    """(query ids, row ids, scores) of each query's k best rows among the reranked.
-
-    Row i of x stands for the ids members[ends[i - 1] : ends[i]], in order.
-    """
+def lookup(queries: np.ndarray, books: np.ndarray) -> np.ndarray:
+    """(queries, pairs of codebooks, pairs of codewords): inner products of queries with sums of two codewords."""
     m, w, d = books.shape
-    begins = np.concatenate([[0], ends[:-1]]).astype(np.int64)
-    sizes = ends - begins
-    ids, none = members[begins], np.iinfo(np.int64).max
-    # the smallest id of a row that is not its first, and whether there is one
-    others = members != np.repeat(ids, sizes)
-    second = np.minimum.reduceat(np.where(others, members, none), begins) if len(begins) else ids
-    single = ~np.logical_or.reduceat(others, begins) if len(begins) else ids == 0
-    flat = books.reshape(m * w, d)
-    for at in range(0, len(q), 64):
-        own, some = query_ids[at : at + 64], q[at : at + 64]
-        lookup = (np.pad(some, ((0, 0), (0, max(0, d - some.shape[1]))))[:, :d].astype(np.float32) @ flat.T).reshape(len(own), m, w)
-        near = lookup[:, 0, :][:, codes[:, 0]]
-        for b in range(1, m):
-            near += lookup[:, b, :].take(codes[:, b], axis=1)
-        if measure == "l2":
-            near = 2 * near - norm[None, :].astype(np.float32)
-        near[(own[:, None] == ids[None, :]) & single] = -np.inf
-        r = min(reranked, len(ids))
-        pick = np.argpartition(-near, r - 1, axis=1)[:, :r] if r < len(ids) else np.tile(np.arange(r), (len(own), 1))
-        pick.sort(axis=1)
-        score = np.zeros(pick.shape)
-        for c in range(x.shape[1]):
-            term = x[:, c][pick]
-            score += term * some[:, c : c + 1] if measure == "ip" else -((term - some[:, c : c + 1]) ** 2)
-        score[np.take_along_axis(near, pick, 1) == -np.inf] = -np.inf
-        least = np.where(ids[pick] == own[:, None], second[pick], ids[pick])
-        order = np.lexsort((least, -score), axis=1)[:, :k]
-        score, rows = np.take_along_axis(score, order, 1), np.take_along_axis(pick, order, 1)
-        ok = score > -np.inf
-        rows, query, score = rows[ok], np.repeat(np.arange(len(own)), ok.sum(1)), score[ok]
-        # every member of the rows, and of these the first k of each query
-        n = sizes[rows]
-        query, score = np.repeat(query, n), np.repeat(score, n)
-        found = members[np.arange(len(query)) + np.repeat(begins[rows] - (np.cumsum(n) - n), n)]
-        other = found != own[query]
-        query, score, found = query[other], score[other], found[other]
-        order = np.lexsort((found, -score, query))
-        query, score, found = query[order], score[order], found[order]
-        first = np.arange(len(query)) - np.searchsorted(query, query) < k
-        yield own[query[first]], found[first], score[first]
+    one = (np.pad(queries, ((0, 0), (0, max(0, d - queries.shape[1]))))[:, :d].astype(np.float32) @ books.reshape(m * w, d).T).reshape(len(queries), m, w)
+    return (one[:, ::2, :, None] + one[:, 1::2, None, :]).reshape(len(queries), m // 2, w * w)
+
+
+def approximate(table: np.ndarray, codes: np.ndarray, norm: np.ndarray, measure: str) -> np.ndarray:
+    """Approximate scores (queries, rows)."""
+    near = table[:, 0, :].take(codes[:, 0], axis=1)
+    for b in range(1, table.shape[1]):
+        near += table[:, b, :].take(codes[:, b], axis=1)
+    return 2 * near - norm[None, :].astype(np.float32) if measure == "l2" else near
+
+
+def _codes(column: pa.Array) -> np.ndarray:
+    return np.frombuffer(b"".join(column.to_pylist()), np.uint8).reshape(len(column), -1)
+
+
+def thresholds(stored: DataFrame, block: tuple, books: np.ndarray, measure: str, reranked: int, tile_rows: int) -> np.ndarray:
+    """For each query of a block the approximate score that reranked rows reach, or a little less."""
+    spark = stored.sparkSession
+    tasks = max(1, stored.rdd.getNumPartitions())
+    sent = min(reranked, 16 + 4 * reranked // tasks)
+    known = spark.sparkContext.broadcast((block[1], books))
+
+    def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        queries, words = known.value
+        top = np.zeros((len(queries), 0), np.float32)
+        for b in batches:
+            codes, norm = _codes(b.column(0)), b.column(1).to_numpy(zero_copy_only=False)
+            parts = []
+            for at in range(0, len(queries), 64):
+                near = approximate(lookup(queries[at : at + 64], words), codes, norm, measure)
+                both = np.concatenate([top[at : at + 64], near], axis=1)
+                parts.append(-np.partition(-both, sent - 1, axis=1)[:, :sent] if both.shape[1] > sent else both)
+            top = np.concatenate(parts)
+        if top.shape[1]:
+            yield pa.RecordBatch.from_arrays([pa.array(np.arange(len(top))), pa.array([x.tobytes() for x in top], pa.binary())], ["query", "top"])
+
+    def merged(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: dict[int, np.ndarray] = {}
+        for b in batches:
+            for q, raw in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True):
+                both = np.concatenate([held.get(q, np.zeros(0, np.float32)), np.frombuffer(raw, np.float32)])
+                held[q] = -np.partition(-both, reranked - 1)[:reranked] if len(both) > reranked else both
+        least = [float(x.min()) if len(x) >= reranked else -np.inf for x in held.values()]
+        yield pa.RecordBatch.from_arrays([pa.array(list(held), pa.int64()), pa.array(least, pa.float64())], ["query", "least"])
+
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(tile_rows))
+    rows = stored.select("codes", "norm").mapInArrow(work, "query long, top binary").repartition("query").mapInArrow(merged, "query long, least double").toArrow()  # one row for each query of the block
+    out = np.full(len(block[0]), -np.inf)
+    out[rows["query"].to_numpy()] = rows["least"].to_numpy()
+    known.destroy()
+    return out
+
+
+def _expanded(rows: np.ndarray, query: np.ndarray, score: np.ndarray, members: np.ndarray, begins: np.ndarray, sizes: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(query, score, id) of every id that the rows stand for."""
+    n = sizes[rows]
+    query, score = np.repeat(query, n), np.repeat(score, n)
+    return query, score, members[np.arange(len(query)) + np.repeat(begins[rows] - (np.cumsum(n) - n), n)]
 
 
 def nearest(rows: DataFrame, queries: DataFrame, k: int, measure: str = "ip", tile_rows: int = TILE_ROWS, query_rows: int = QUERY_ROWS, reranked: int = RERANKED, sample_rows: int = SAMPLE_ROWS) -> DataFrame:
@@ -165,27 +184,48 @@ def nearest(rows: DataFrame, queries: DataFrame, k: int, measure: str = "ip", ti
     spark = rows.sparkSession
     rows, queries = (df.where(F.exists("v", lambda x: x != 0)) for df in (rows, queries))
     rows = written(distinct(rows, k), "distinct")
-    sample = rows.orderBy(F.xxhash64("id"), "id").limit(sample_rows).toArrow()
-    ids = pa.scalar([{"id": i, "v": v} for i, v in zip(sample["id"].to_pylist(), sample["v"].to_pylist(), strict=True)], pa.list_(pa.struct([("id", pa.int64()), ("v", pa.list_(pa.float64()))])))
-    books = fit(matrix(ids)[1])
+    sample = rows.orderBy(F.xxhash64("id"), "id").limit(sample_rows).select("id", "v").toArrow().combine_chunks()
+    if not len(sample):
+        return best(spark.createDataFrame([], "query_id long, vec_id long, score double"), k)
+    books = fit(matrix(sample["id"].chunk(0), sample["v"].chunk(0))[1])
     spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "4096")
     stored = written(index(rows, books), "index")
-    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(PAIR_BATCH_ROWS))
-
-    def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for t, b in zip(batch.column(0), batch.column(1), strict=True):
-                (ids, x), (query_ids, q) = matrix(t), matrix(b)
-                lists = t.values.field("members")
-                members, ends = lists.flatten().to_numpy(), np.cumsum(lists.value_lengths().to_numpy())
-                x, q = same_width(x, q)
-                codes = np.frombuffer(b"".join(t.values.field("codes").to_pylist()), np.uint8).reshape(len(ids), -1)
-                norm = t.values.field("norm").to_numpy(zero_copy_only=False)
-                for found in nearest_in_tile(members, ends, x, codes, norm, query_ids, q, books, k, reranked, measure):
-                    yield pa.RecordBatch.from_arrays([pa.array(c) for c in found], ["query_id", "vec_id", "score"])
-
-    pairs = tiles(stored, written(queries, "queries"), tile_rows, query_rows)
-    return best(pairs.select("tile_rows", "block_rows").mapInArrow(work, "query_id long, vec_id long, score double"), k)
+    found = None
+    for block in blocks(queries, query_rows):
+        least = thresholds(stored, block, books, measure, reranked, tile_rows)
+        known = spark.sparkContext.broadcast((*block, least, books))
+
+        def work(batches: Iterator[pa.RecordBatch], known=known) -> Iterator[pa.RecordBatch]:
+            query_ids, queries, least, words = known.value
+            kept = Kept(k, lambda score, id: (id, -score))
+            for b in batches:
+                _, x = matrix(b.column(0), b.column(1))
+                lists = b.column(2)
+                members, sizes = lists.flatten().to_numpy(), lists.value_lengths().to_numpy()
+                begins = np.cumsum(sizes) - sizes
+                codes, norm = _codes(b.column(3)), b.column(4).to_numpy(zero_copy_only=False)
+                x, own = same_width(x, queries)
+                for at in range(0, len(own), 64):
+                    some = own[at : at + 64]
+                    query, row = np.nonzero(approximate(lookup(some, words), codes, norm, measure) >= least[at : at + 64, None])
+                    score = np.zeros(len(row))
+                    for c in range(x.shape[1]):
+                        p, q = x[row, c], some[query, c]
+                        score += p * q if measure == "ip" else -((p - q) ** 2)
+                    query, score, id = _expanded(row, query + at, score, members, begins, sizes)
+                    other = id != query_ids[query]
+                    kept.add(query[other], score[other], id[other])
+            if kept.rows:
+                query, score, id = kept.columns()
+                yield pa.RecordBatch.from_arrays([pa.array(query_ids[query]), pa.array(query), pa.array(id), pa.array(score)], ["query_id", "query", "vec_id", "score"])
+
+        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(tile_rows))
+        out = written(stored.select("id", "v", "members", "codes", "norm").mapInArrow(work, "query_id long, query long, vec_id long, score double"), "found")
+        known.destroy()
+        found = out if found is None else found.unionByName(out)
+    if found is None:
+        found = spark.createDataFrame([], "query_id long, vec_id long, score double")
+    return best(found.select("query_id", "vec_id", "score"), k)
 
 
 def op10_additive_ann(spark: SparkSession, sf_dir: str) -> DataFrame:

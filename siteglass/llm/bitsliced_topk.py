@@ -1,6 +1,7 @@
 """Operator 2: exact top-k search with a bit-sliced index.
 
-Each component becomes floor(scale * x). A tile of rows is stored as bit slices: one bitmap for each bit
+Each component becomes floor(scale * x). Queries come in broadcast blocks of bounded size, and a task holds its rows a tile at
+a time, so no row is shuffled before it is among a task's best. A tile of rows is stored as bit slices: one bitmap for each bit
 of each component, less the tile's smallest value. For a block of queries the weighted sum of components
 is built from the slices alone: a query component's bits choose slices, a negative one their complements,
 and carry-save adders on bitmaps sum them into slices of the score. The top rows are then selected from the
@@ -23,9 +24,9 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .common import table, written
-from .tiles import PAIR_BATCH_ROWS, best, matrix, same_width, tiles, vectors
+from .tiles import Kept, best, matrix, same_width, searched, vectors
 
-TILE_ROWS, QUERY_ROWS = 8192, 512
+TILE_ROWS, QUERY_ROWS = 8192, 8192
 #: Queries whose bitmaps are added at once.
 LANE = 64
 
@@ -136,25 +137,27 @@ def topk(rows: DataFrame, queries: DataFrame, k: int, scale: int = 1024, tile_ro
         whole = lambda x: F.when(F.abs(x * scale) < 2.0**63, F.floor(x * scale).cast("long")).otherwise(F.raise_error(F.lit("a quantised component leaves 64 bits")))
         return df.select("id", F.transform("v", whole).alias("v"))
 
-    rows.sparkSession.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(PAIR_BATCH_ROWS))
-
-    def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def search(batches: Iterator[pa.RecordBatch], block: tuple[np.ndarray, np.ndarray]) -> Iterator[pa.RecordBatch]:
+        query_ids, queries = block
+        kept = Kept(k, lambda far, score, id: (id, ~score, -far))
         for batch in batches:
-            for t, b in zip(batch.column(0), batch.column(1), strict=True):
-                (ids, values), (query_ids, queries) = matrix(t), matrix(b)
-                values, queries = same_width(values, queries)
-                found = list(top_rows(ids, values.astype(np.int64), query_ids, queries.astype(np.int64), k))
-                n = [len(x[1]) for x in found]
-                if sum(n):
-                    score = np.concatenate([x[2] for x in found])
-                    far = np.zeros(len(score), np.int32)  # beyond 64 bits: 1 above, -1 below
-                    if score.dtype == object:
-                        far = (score >= 2**63).astype(np.int32) - (score < -(2**63)).astype(np.int32)
-                        score = np.where(far == 0, score, 0).astype(np.int64)
-                    yield pa.RecordBatch.from_arrays([pa.array(np.repeat(query_ids, n)), pa.array(np.concatenate([x[1] for x in found])), pa.array(far), pa.array(score, pa.int64())], ["query_id", "vec_id", "far", "score"])
-
-    pairs = tiles(written(quantised(rows), "rows"), written(quantised(queries), "queries"), tile_rows, query_rows)
-    found = pairs.select("tile_rows", "block_rows").mapInArrow(work, "query_id long, vec_id long, far int, score long")
+            ids, values = matrix(batch.column(0), batch.column(1))
+            order = np.argsort(ids, kind="stable")
+            values, own = same_width(values[order].astype(np.int64), queries.astype(np.int64))
+            found = list(top_rows(ids[order], values, query_ids, own, k))
+            n = [len(x[1]) for x in found]
+            if sum(n):
+                score = np.concatenate([x[2] for x in found])
+                far = np.zeros(len(score), np.int32)  # beyond 64 bits: 1 above, -1 below
+                if score.dtype == object:
+                    far = (score >= 2**63).astype(np.int32) - (score < -(2**63)).astype(np.int32)
+                    score = np.where(far == 0, score, 0).astype(np.int64)
+                kept.add(np.repeat(np.arange(len(found)), n), far, score, np.concatenate([x[1] for x in found]))
+        if kept.rows:
+            query, far, score, id = kept.columns()
+            yield pa.RecordBatch.from_arrays([pa.array(query_ids[query]), pa.array(query), pa.array(id), pa.array(far), pa.array(score)], ["query_id", "query", "vec_id", "far", "score"])
+
+    found = searched(written(quantised(rows), "rows"), quantised(queries), query_rows, tile_rows, "query_id long, query long, vec_id long, far int, score long", search)
     found = best(found.select("query_id", "vec_id", F.struct("far", "score").alias("score")), k)
     score = F.when(F.col("score.far") == 0, F.col("score.score")).otherwise(F.raise_error(F.lit("a score leaves 64 bits")))
     return found.withColumn("score", score)

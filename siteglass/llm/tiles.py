@@ -1,12 +1,14 @@
 """A stated query set against all rows, in blocks.
 
-Rows are dealt into tiles of bounded size, queries into blocks of bounded size; each tile is joined with
-each block by the block's number. Nothing that grows with the data is broadcast or collected.
+Queries are dealt into blocks of bounded size, which are broadcast one after the other; in each, every task reads its
+own rows once, a batch at a time, and keeps the best of them. So rows are read where they lie, and never shuffled or
+copied, and what is broadcast or held by a task does not grow with the table.
 """
 
 from __future__ import annotations
 
 import math
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -16,10 +18,6 @@ from pyspark.sql import functions as F
 from .common import written
 
 
-#: A row holds a whole tile and block, so Arrow batches hold few.
-PAIR_BATCH_ROWS = 2
-
-
 def vectors(df: DataFrame, id: str, vector: str) -> DataFrame:
     """(id long, v array<double>) of rows whose vectors are not null and hold no null and nothing that is not finite; null ids are dropped."""
     v = F.col(vector).cast("array<double>")
@@ -27,26 +25,9 @@ def vectors(df: DataFrame, id: str, vector: str) -> DataFrame:
     return df.select(F.col(id).cast("long").alias("id"), v.alias("v")).where("id is not null and v is not null").where(~bad)
 
 
-def _dealt(rows: DataFrame, number: int, name: str, cols: list[str]) -> DataFrame:
-    tile = F.pmod(F.xxhash64("id"), F.lit(number))
-    return rows.groupBy(tile.alias(name)).agg(F.sort_array(F.collect_list(F.struct(*cols))).alias(f"{name}_rows"))
-
-
-def tiles(rows: DataFrame, queries: DataFrame, tile_rows: int, query_rows: int) -> DataFrame:
-    """(tile, block, tile_rows, block_rows) of every tile and block; rows and queries have id and further columns."""
-    n, q = max(1, math.ceil(rows.count() / tile_rows)), max(1, math.ceil(queries.count() / query_rows))
-    blocks = written(_dealt(queries, q, "block", queries.columns), "blocks")
-    dealt = written(_dealt(rows, n, "tile", rows.columns), "tiles")
-    number = lambda k: F.explode(F.sequence(F.lit(0).cast("long"), F.lit(k - 1).cast("long")))
-    left, right = dealt.withColumn("block", number(q)), blocks.withColumn("tile", number(n))
-    left = left.repartition(n * q, "tile", "block")
-    return left.join(right.repartition(n * q, "tile", "block"), ["tile", "block"]).select("tile", "block", "tile_rows", "block_rows")
-
-
-def matrix(rows: pa.ListScalar, field: str = "v") -> tuple[np.ndarray, np.ndarray]:
-    """(ids, vectors) of one tile or block; shorter vectors end in zeros."""
-    values = rows.values
-    ids, lists = values.field("id").to_numpy(zero_copy_only=False), values.field(field)
+def matrix(ids: pa.Array, lists: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+    """(ids, vectors) of columns; shorter vectors end in zeros."""
+    ids = ids.to_numpy(zero_copy_only=False)
     length = lists.value_lengths().to_numpy(zero_copy_only=False)
     width = int(length.max()) if len(length) else 0
     flat = lists.flatten().to_numpy(zero_copy_only=False)
@@ -62,6 +43,58 @@ def same_width(a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return tuple(x if x.shape[1] == w else np.pad(x, ((0, 0), (0, w - x.shape[1]))) for x in (a, b))
 
 
+def blocks(queries: DataFrame, query_rows: int) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """(ids, vectors) of queries (id, v), about query_rows at a time; ids ascend."""
+    n = max(1, math.ceil(queries.count() / query_rows))
+    # rows with one id are dealt by their vectors too
+    dealt = written(queries.withColumn("block", F.pmod(F.xxhash64("id", "v"), F.lit(n))), "queries")
+    for k in range(n):
+        rows = dealt.where(F.col("block") == k).orderBy("id", "v").select("id", "v").toArrow().combine_chunks()
+        if len(rows):
+            columns = [c.chunk(0) if c.num_chunks else pa.array([], c.type) for c in rows.columns]
+            yield matrix(*columns)
+
+
+def searched(rows: DataFrame, queries: DataFrame, query_rows: int, tile_rows: int, kind: str, search: Callable) -> DataFrame:
+    """What search(batches, block) yields for the batches of each task's rows and each block of queries, as a written table."""
+    spark, found = rows.sparkSession, None
+    for block in blocks(queries, query_rows):
+        known = spark.sparkContext.broadcast(block)
+
+        def work(batches: Iterator[pa.RecordBatch], known=known) -> Iterator[pa.RecordBatch]:
+            yield from search(batches, known.value)
+
+        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(tile_rows))
+        out = written(rows.mapInArrow(work, kind), "found")
+        known.destroy()
+        found = out if found is None else found.unionByName(out)
+    return rows.sparkSession.createDataFrame([], kind) if found is None else found
+
+
+class Kept:
+    """The k best rows of each query among all that were added, as columns; the first is the query's number."""
+
+    def __init__(self, k: int, order: Callable[..., tuple[np.ndarray, ...]], most: int = 1_000_000):
+        self.k, self.order, self.most = k, order, most
+        self.parts: list[tuple[np.ndarray, ...]] = []
+        self.rows = 0
+
+    def add(self, *columns: np.ndarray) -> None:
+        self.parts.append(columns)
+        self.rows += len(columns[0])
+        if self.rows > self.most:
+            self.parts = [self.columns()]
+            self.rows = len(self.parts[0][0])
+            self.most = max(self.most, 2 * self.rows)
+
+    def columns(self) -> tuple[np.ndarray, ...]:
+        columns = tuple(np.concatenate(c) for c in zip(*self.parts, strict=True))
+        at = np.lexsort((*self.order(*columns[1:]), columns[0]))
+        columns = tuple(c[at] for c in columns)
+        first = np.arange(len(at)) - np.searchsorted(columns[0], columns[0]) < self.k
+        return tuple(c[first] for c in columns)
+
+
 def best(found: DataFrame, k: int) -> DataFrame:
     """(query_id, rank, vec_id, score): the k largest scores of each query, ties to smaller vec_id."""
     order = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")

@@ -68,9 +68,16 @@ def text_slices(texts: pa.Array, most: int = SLICE_BYTES) -> Iterator[tuple[int,
 
 def words(data: np.ndarray, off: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """(row of each word, hash of each word), in order."""
+    row, _, _, h = word_spans(data, off)
+    return row, h
+
+
+def word_spans(data: np.ndarray, off: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """(row, first byte, past the last byte, hash) of each word, in order."""
     n = len(data)
     if not n:
-        return np.zeros(0, np.int64), np.zeros(0, U)
+        none = np.zeros(0, np.int64)
+        return none, none, none, np.zeros(0, U)
     solid = ~SPACE[data]
     first = np.zeros(n + 1, bool)
     first[off] = True
@@ -79,7 +86,7 @@ def words(data: np.ndarray, off: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     end[:-1] &= ~solid[1:] | first[1:-1]
     s, e = np.flatnonzero(start), np.flatnonzero(end) + 1
     h = prefix(data, _LOWER_VALUES)
-    return np.searchsorted(off, s, "right") - 1, mix((h[e] - h[s]) * powers(n)[1][s] + (e - s).astype(U))
+    return np.searchsorted(off, s, "right") - 1, s, e, mix((h[e] - h[s]) * powers(n)[1][s] + (e - s).astype(U))
 
 
 _MULT = _rng.integers(1, 2**63, 16, dtype=np.uint64) * U(2) + U(1)

@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from .functions import text, urls
 from .functions.stats import wilson_sql
 from .operators import audit, measure
-from .plans import crawl, jsonld, more, planning
+from .plans import crawl, jobs, jsonld, more, planning
 from .sources.tables import ENGINES, OBSERVATIONS_SQL, observations, table
 
 FLAGSHIP = "a04_rates"
@@ -225,6 +225,6 @@ def j15_robots(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "pages").select("page_id", audit.allowed(urls.part(F.col("url"), 3), rules).alias("allowed"))
 
 
-for part in (more, crawl, planning, jsonld):
+for part in (more, crawl, planning, jsonld, jobs):
     QUERIES |= part.QUERIES
     ORACLES |= part.ORACLES

@@ -248,12 +248,6 @@ def type_frequencies(found: DataFrame) -> DataFrame:
     return ok_pages(found).select("page_id", F.explode("jsonld_types").alias("type")).groupBy("type").agg(F.count("*").alias("pages"))
 
 
-def robots_state(status: Column, error: Column, body: Column) -> Column:
-    """How a robots file was answered: ok, absent (4xx, or a page in its place) or unreachable (no answer, throttled, 5xx)."""
-    page = F.regexp_like(F.coalesce(body, F.lit("")), F.lit(r"(?is)^\s*(<!doctype html|<html)"))
-    return F.when(error.isNotNull() | status.isNull() | (status == 429) | (status >= 500), "unreachable").when((status == 200) & ~page, "ok").otherwise("absent")
-
-
 def sitemap_candidates(declared: DataFrame, base: str) -> DataFrame:
     """(place, url): declared sitemaps of the site's own host, in order, each once, and the two usual places."""
     origin = F.lit(base.rstrip("/"))
@@ -266,17 +260,3 @@ def lost_lines(before: DataFrame, after: DataFrame) -> DataFrame:
     """Lines of the old robots file (file, value) that the live one lacks, trimmed and each once; blank ones do not count."""
     lines = lambda df: df.select("file", F.explode(F.split("value", r"\r\n|\n|\r")).alias("line")).select("file", F.trim("line").alias("line")).where("line <> ''").distinct()
     return lines(before).join(lines(after), ["file", "line"], "left_anti")
-
-
-def agent_policies(rules: DataFrame, agents: list[str], path: str = "/") -> DataFrame:
-    """(agent, policy): whether an agent's own group, else that of all agents, lets it in: block, partial, allow or none.
-
-    rules are (agent, pattern, allow). A group that disallows the root with no allow is block, one that disallows something partial.
-    """
-    lower = rules.withColumn("agent", F.lower("agent"))
-    by = lower.groupBy("agent").agg(F.bool_or(~F.col("allow") & (F.col("pattern") == path)).alias("root"), F.bool_or("allow").alias("any_allow"), F.bool_or(~F.col("allow")).alias("any_disallow"))
-    policy = F.when(F.col("root") & ~F.col("any_allow"), "block").when(F.col("any_disallow"), "partial").otherwise("allow")
-    by = by.select("agent", policy.alias("policy"))
-    wanted = rules.sparkSession.createDataFrame([(a, a.lower()) for a in agents], "name string, agent string")
-    star = by.where("agent = '*'").select(F.concat(F.lit("star-"), "policy").alias("star"))
-    return wanted.join(by, "agent", "left").join(star, how="left").select(F.col("name").alias("agent"), F.coalesce("policy", "star", F.lit("none")).alias("policy"))

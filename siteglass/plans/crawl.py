@@ -159,15 +159,6 @@ def t21_title_core(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "supplier").select(F.col("s_suppkey").alias("id"), crawl.title_core(title, "|", "Store").alias("core"))
 
 
-@query("""SELECT page_id, CASE page_id % 7 WHEN 0 THEN 'unreachable' WHEN 1 THEN 'unreachable' WHEN 2 THEN 'unreachable' WHEN 3 THEN 'absent' WHEN 4 THEN CASE WHEN regexp_matches(html, '(?is)^\\s*(<!doctype html|<html)') THEN 'absent' ELSE 'ok' END
-    WHEN 5 THEN 'ok' ELSE 'absent' END AS state FROM pages""")
-def s10_robots_states(spark: SparkSession, sf_dir: str) -> DataFrame:
-    i = F.col("page_id") % 7
-    status = F.when(i == 0, 429).when(i == 1, 503).when(i == 2, F.lit(None).cast("int")).when(i == 3, 404).when(i == 6, 410).otherwise(200)
-    body = F.when(i == 4, F.col("html")).otherwise(F.lit("User-agent: *"))
-    return table(spark, sf_dir, "pages").select("page_id", crawl.robots_state(status, F.when(i == 2, "timeout"), body).alias("state"))
-
-
 SITE = "https://blog.tionsh.example.net"
 
 
@@ -185,18 +176,6 @@ def j38_lost_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
     return crawl.lost_lines(lines(F.concat(F.lit(" Disallow: /"), (i % 7).cast("string")), F.concat(F.lit("Allow: /"), (i % 3).cast("string"))), lines(F.concat(F.lit("Disallow: /"), (i % 5).cast("string"))))
 
 
-AGENTS = ["FRANCE", "Germany", "JAPAN", "Nobot"]
-
-
-@query("""WITH r AS (SELECT CASE WHEN n_nationkey = 0 THEN '*' ELSE lower(n_name) END AS agent, CASE WHEN n_nationkey % 3 = 0 THEN '/' ELSE '/private' END AS pattern, n_nationkey % 4 = 0 AS allow FROM nation),
-    p AS (SELECT agent, CASE WHEN bool_or(NOT allow AND pattern = '/') AND NOT bool_or(allow) THEN 'block' WHEN bool_or(NOT allow) THEN 'partial' ELSE 'allow' END AS policy FROM r GROUP BY agent)
-    SELECT w.name AS agent, coalesce(p.policy, 'star-' || (SELECT policy FROM p WHERE agent = '*'), 'none') AS policy FROM (SELECT unnest(['FRANCE', 'Germany', 'JAPAN', 'Nobot']) AS name) w LEFT JOIN p ON p.agent = lower(w.name)""")
-def j39_agent_policies(spark: SparkSession, sf_dir: str) -> DataFrame:
-    k = F.col("n_nationkey")
-    rules = table(spark, sf_dir, "nation").select(F.when(k == 0, "*").otherwise(F.col("n_name")).alias("agent"), F.when(k % 3 == 0, "/").otherwise("/private").alias("pattern"), (k % 4 == 0).alias("allow"))
-    return crawl.agent_policies(rules, AGENTS)
-
-
 @query("""SELECT page_id, CASE page_id % 3 WHEN 0 THEN regexp_replace(url, '#.*$', '') WHEN 1 THEN NULL ELSE 'https://shop.example.org/' || page_id END AS cleaned FROM pages""")
 def u05_entered_urls(spark: SparkSession, sf_dir: str) -> DataFrame:
     i = F.col("page_id")

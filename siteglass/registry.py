@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from .functions import text, urls
 from .functions.stats import wilson_sql
 from .operators import audit, measure
-from .plans import crawl, jobs, jsonld, more, planning
+from .plans import crawl, jobs, jsonld, more, planning, robots
 from .sources.tables import ENGINES, OBSERVATIONS_SQL, observations, table
 
 FLAGSHIP = "a04_rates"
@@ -219,12 +219,6 @@ def t08_length_verdict(spark: SparkSession, sf_dir: str) -> DataFrame:
     return audit.facts(table(spark, sf_dir, "pages")).select("page_id", text.length_verdict(F.col("title"), "title").alias("verdict"))
 
 
-@query(f"SELECT page_id, NOT (regexp_matches(regexp_extract(url, '{RFC}', 3), '^/en/') AND NOT regexp_matches(regexp_extract(url, '{RFC}', 3), '^/en/1.*')) AS allowed FROM pages")
-def j15_robots(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rules = [("/en/", False), ("/en/1*", True)]
-    return table(spark, sf_dir, "pages").select("page_id", audit.allowed(urls.part(F.col("url"), 3), rules).alias("allowed"))
-
-
-for part in (more, crawl, planning, jsonld, jobs):
+for part in (more, crawl, planning, jsonld, jobs, robots):
     QUERIES |= part.QUERIES
     ORACLES |= part.ORACLES

@@ -82,27 +82,9 @@ def access_log(spark: SparkSession, path: str) -> DataFrame:
     return spark.read.text(path).where(F.regexp_like("value", F.lit(ACCESS_LINE))).select(part(1).alias("host"), part(3).alias("method"), part(4).alias("path"), part(5).cast("int").alias("status"), part(8).alias("agent"))
 
 
-def robots_rules(spark: SparkSession, path: str) -> DataFrame:
-    """(file, agent, pattern, allow, place) of robots files; an agent's groups are merged.
-
-    A file is a row, as its lines depend on those before; files are small by protocol.
-    """
-    files = spark.read.text(path, wholetext=True).select(F.input_file_name().alias("file"), "value")
-    lines = F.transform(F.split("value", r"\r\n|\n|\r"), lambda x: F.trim(F.regexp_replace(F.regexp_replace(x, "^﻿", ""), "#.*$", "")))
-    pairs = F.transform(F.filter(lines, lambda x: F.contains(x, F.lit(":"))), lambda x: F.struct(F.lower(F.trim(F.substring_index(x, ":", 1))).alias("name"), F.trim(F.regexp_replace(x, "^[^:]*:", "")).alias("value")))
-    pairs = F.filter(pairs, lambda p: p["name"].isin("user-agent", "allow", "disallow"))
-    # state: agents of the open group, whether it has rules yet, and what was found
-    start = F.struct(F.array().cast("array<string>").alias("agents"), F.lit(False).alias("ruled"), F.array().cast("array<struct<agents:array<string>,pattern:string,allow:boolean>>").alias("found"))
-
-    def step(s, p):
-        agent, token = p["name"] == "user-agent", F.lower(F.regexp_extract(p["value"], r"^[^/\s]+", 0))
-        agents = F.when(agent, F.when(s["ruled"], F.array(token)).otherwise(F.array_append(s["agents"], token))).otherwise(s["agents"])
-        rule = F.struct(s["agents"].alias("agents"), p["value"].alias("pattern"), (p["name"] == "allow").alias("allow"))
-        found = F.when(agent | (p["value"] == ""), s["found"]).otherwise(F.array_append(s["found"], rule))
-        return F.struct(agents.alias("agents"), (~agent).alias("ruled"), found.alias("found"))
-
-    rules = files.select("file", F.posexplode(F.aggregate(pairs, start, step)["found"]).alias("place", "r"))
-    return rules.select("file", F.explode("r.agents").alias("agent"), "r.pattern", "r.allow", "place")
+def robots_files(spark: SparkSession, path: str) -> DataFrame:
+    """(file, value) of robots files, each whole: they are small by protocol."""
+    return spark.read.text(path, wholetext=True).select(F.input_file_name().alias("file"), "value")
 
 
 def append_snapshot(df: DataFrame, path: str, date: str, kind: str) -> None:

@@ -42,9 +42,6 @@ def test_sitemap_chunks_read_back(spark, tmp_path):
     assert sorted(r.loc for r in got.collect()) == sorted(r.loc for r in entries.collect())
 
 
-def test_robots_groups_and_access_log(spark, tmp_path):
-    (tmp_path / "robots.txt").write_text("User-agent: A\nUser-agent: b/2\nDisallow: /x # no\nAllow: /x/y\nUser-agent: *\nDisallow:\nDisallow: /z\nUser-agent: a\nDisallow: /w\n")
-    rows = {(r.agent, r.pattern, r.allow) for r in files.robots_rules(spark, str(tmp_path / "robots.txt")).collect()}
-    assert rows == {("a", "/x", False), ("b", "/x", False), ("a", "/x/y", True), ("b", "/x/y", True), ("*", "/z", False), ("a", "/w", False)}
+def test_access_log(spark, tmp_path):
     (tmp_path / "access.log").write_text('1.2.3.4 - - [01/Jan/2024:00:00:00 +0000] "GET /a HTTP/1.1" 404 12 "-" "GPTBot/1.0"\nnoise\n')
     assert [tuple(r) for r in files.access_log(spark, str(tmp_path / "access.log")).collect()] == [("1.2.3.4", "GET", "/a", 404, "GPTBot/1.0")]

@@ -1,7 +1,7 @@
 from pyspark.sql import functions as F
 
 from siteglass.functions import text, urls
-from siteglass.operators import audit, measure
+from siteglass.operators import measure
 
 
 def one(spark, value, column):
@@ -27,13 +27,6 @@ def test_text(spark):
     assert one(spark, "Bot/2.1 (x)", text.agent_token(x)) == "bot"
 
 
-def test_robots_longest_match_and_ties(spark):
-    x = F.col("x")
-    rules = [("/a", False), ("/a/b", True), ("/c$", False), ("/d", False), ("/d", True)]
-    want = {"/a/x": False, "/a/b/x": True, "/c": False, "/cc": True, "/d": True, "/": True}
-    assert {p: one(spark, p, audit.allowed(x, rules)) for p in want} == want
-
-
 def test_unknown_is_not_zero(spark):
     schema = "engine string, outcome string, answer_complete boolean, coverage string, cited boolean, mentioned boolean, organic boolean"
     rows = [("a", "error", None, None, None, None, None), ("a", "observed", True, "partial", False, None, None), ("b", "observed", True, "partial", True, True, None)]

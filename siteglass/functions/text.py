@@ -75,25 +75,29 @@ def set_fingerprint(rows: DataFrame, by: list[str], kind: str = "kind", text: st
     return rows.groupBy(*by).agg(F.sha2(F.concat_ws("\n", F.array_sort(F.collect_set(own))), 256).alias("set_fingerprint"), F.count("*").alias("n_questions"))
 
 
-def page_directives(meta: Column, header: Column, agent: str) -> Column:
-    """Robots directives of a page for an agent: of its meta element and of header lines, whose agent holds until another is named; none means noindex and nofollow.
+def page_directives(meta: Column, header: Column, agent: str, own_meta: Column | None = None) -> Column:
+    """Robots directives of a page for an agent: of the meta elements for all and for the agent, and of header lines; none means noindex and nofollow too.
 
-    Header lines are separated by line feeds, directives by commas; `agent: directive` opens a scope.
+    A header has lines of segments between commas; `agent: directive` opens a scope, for names of agents alone and to the end of its line. Directives end at commas,
+    semicolons and white space.
     """
-    parts = F.flatten(F.transform(F.split(F.lower(F.coalesce(header, F.lit(""))), "\n"), lambda line: F.transform(F.split(line, ","), lambda x: F.trim(x))))
+    named = r"(?is)^\s*(googlebot-news|[\w-]+(?:bot|user))\s*:\s*(.*)$"
     start = F.struct(F.lit("").alias("scope"), F.array().cast("array<string>").alias("found"))
-    valued = r"^(max-snippet|max-image-preview|max-video-preview|unavailable_after)\s*:"
 
     def step(s, x):
-        names = F.contains(x, F.lit(":")) & ~F.regexp_like(x, F.lit(valued))
-        scope = F.when(names, F.trim(F.substring_index(x, ":", 1))).otherwise(s["scope"])
-        word = F.when(names, F.trim(F.regexp_replace(x, "^[^:]*:", ""))).otherwise(x)
-        mine = (word != "") & ((scope == "") | (scope == agent.lower()))
-        return F.struct(scope.alias("scope"), F.when(mine, F.array_append(s["found"], word)).otherwise(s["found"]).alias("found"))
-
-    both = F.concat(directives(F.coalesce(meta, F.lit(""))), F.aggregate(parts, start, step)["found"])
-    both = F.transform(both, lambda x: F.regexp_replace(x, r"\s*:\s*", ":"))
-    return F.array_sort(F.array_distinct(F.flatten(F.transform(both, lambda x: F.when(x == "none", F.array(F.lit("noindex"), F.lit("nofollow"))).otherwise(F.array(x))))))
+        scope = F.lower(F.regexp_extract(x, named, 1))
+        scope = F.when(scope != "", scope).otherwise(s["scope"])
+        said = F.when(F.regexp_like(x, F.lit(named)), F.regexp_extract(x, named, 2)).otherwise(x)
+        mine = (scope == "") | (scope == agent.lower())
+        return F.struct(scope.alias("scope"), F.when(mine, F.array_append(s["found"], said)).otherwise(s["found"]).alias("found"))
+
+    lines = F.split(F.coalesce(header, F.lit("")), r"\r\n|[\n\r\x0b\x0c\x1c-\x1e\u0085\u2028\u2029]")
+    parts = F.flatten(F.transform(lines, lambda line: F.aggregate(F.split(line, ","), start, step)["found"]))
+    metas = F.array(F.coalesce(meta, F.lit("")), F.coalesce(own_meta if own_meta is not None else F.lit(None).cast("string"), F.lit("")))
+    said = F.transform(F.concat(metas, parts), lambda x: F.filter(F.split(F.regexp_replace(F.lower(x), r"\s*:\s*", ":"), r"[,;\s]+"), lambda t: t != ""))
+    tokens = F.flatten(said)
+    none = F.when(F.array_contains(tokens, "none"), F.array(F.lit("noindex"), F.lit("nofollow"))).otherwise(F.array().cast("array<string>"))
+    return F.array_sort(F.array_distinct(F.concat(tokens, none)))
 
 
 def placeholder(x: Column) -> Column:

@@ -1,7 +1,7 @@
 """Operators over a crawl: page records, links between pages, the catalogue of audit rules, lanes and their scorecard.
 
-A crawled page has page_id, url, final_url, status, x_robots, intended_indexable and html. Everything is built of column
-expressions, so a page's HTML is read once and only its facts are shuffled.
+A crawled page has page_id, url, final_url, status, x_robots, intended_indexable and html. Its HTML is read once; what several
+rules ask for is written as one narrow table of facts, and only facts are shuffled.
 """
 
 from __future__ import annotations
@@ -9,7 +9,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions import text, urls
+from ..functions import markup, text, urls
+from ..sources.scratch import kept
 
 #: Order of severities and of a lane's states, worst first.
 SEVERITIES, STATES = ("critical", "warn", "info"), ("bad", "warn", "ok", "na")
@@ -20,52 +21,33 @@ THROTTLED = (429, 503)
 EVIDENCE = 20
 
 
-def _attribute(tag: Column, name: str) -> Column:
-    """An attribute's value in a tag, with either kind of quotes or without any."""
-    found = F.regexp_extract(tag, rf"(?is)[\s\"']{name}\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+))", 0)
-    value = F.regexp_replace(found, rf"(?is)^[\s\"']{name}\s*=\s*", "")
-    return F.trim(F.regexp_replace(value, r"^[\"']|[\"']$", ""))
-
-
-def _tag(tags: Column, name: str, value: str) -> Column:
-    """The first of tags whose attribute name has that value, or an empty string."""
-    return F.coalesce(F.try_element_at(F.filter(tags, lambda t: F.lower(_attribute(t, name)) == value), F.lit(1)), F.lit(""))
-
-
 def records(pages: DataFrame) -> DataFrame:
-    """One record for each page: title, description, canonical, language, headings, links, hreflang, open graph, JSON-LD, visible characters and robots directives."""
-    html = F.coalesce("html", F.lit(""))
-    bare = F.regexp_replace(html, r"(?is)<!--.*?-->|<(script|style|noscript|template)\b[^>]*>.*?</\1\s*>", " ")
-    p = pages.withColumns({"_html": html, "_bare": bare})
-    p = p.withColumns({
-        "_metas": F.regexp_extract_all("_bare", F.lit(r"(?is)<meta\b[^>]*>"), F.lit(0)),
-        "_links": F.regexp_extract_all("_bare", F.lit(r"(?is)<link\b[^>]*>"), F.lit(0)),
-        "blocks": F.regexp_extract_all("_html", F.lit(r"(?is)<script\b[^>]*application/ld\+json[^>]*>(.*?)</script"), F.lit(1)),
-    })
-    languages = F.filter("_links", lambda t: (F.lower(_attribute(t, "rel")) == "alternate") & (_attribute(t, "hreflang") != ""))
-    base = F.coalesce("final_url", "url")
-    valid = F.filter("blocks", lambda b: F.try_parse_json(b).isNotNull())
-    types = F.flatten(F.transform(F.col("blocks"), lambda b: F.regexp_extract_all(b, F.lit(r'"@type"\s*:\s*"([^"]+)"'), F.lit(1))))
-    return p.select(
+    """One record for each page: title, description, canonical, language, headings, links, hreflang, open graph, JSON-LD, visible characters and robots directives.
+
+    Markup is read once, in Arrow batches (functions.markup); addresses and directives are column expressions over what it says.
+    """
+    read = markup.read(pages.select("page_id", "url", F.coalesce("final_url", "url").alias("final_url"), "status", "x_robots", "intended_indexable", "html"), markup.record, markup.RECORD)
+    base, c = F.col("final_url"), F.col
+    return read.select(
         "page_id",
         "url",
-        base.alias("final_url"),
+        "final_url",
         "status",
         "intended_indexable",
-        text.squeezed(F.regexp_extract("_bare", r"(?is)<title[^>]*>(.*?)</title>", 1)).alias("title"),
-        text.squeezed(_attribute(_tag(F.col("_metas"), "name", "description"), "content")).alias("description"),
-        F.when(_tag(F.col("_links"), "rel", "canonical") != "", urls.absolute(base, _attribute(_tag(F.col("_links"), "rel", "canonical"), "href"))).alias("canonical"),
-        F.regexp_extract("_html", r"(?is)<html[^>]*\slang=[\"']?([A-Za-z-]+)", 1).alias("lang"),
-        F.transform(F.regexp_extract_all("_bare", F.lit(r"(?is)<h1\b[^>]*>(.*?)</h1>"), F.lit(1)), lambda x: text.squeezed(F.regexp_replace(x, "<[^>]*>", " "))).alias("h1"),
-        F.transform(F.regexp_extract_all("_bare", F.lit(r"(?is)<a\s[^>]*href\s*=\s*[\"']([^\"']*)[\"']"), F.lit(1)), lambda x: urls.absolute(base, x)).alias("links"),
-        F.array_sort(F.array_distinct(F.transform(languages, lambda t: F.concat(F.lower(_attribute(t, "hreflang")), F.lit(" "), urls.absolute(base, _attribute(t, "href")))))).alias("hreflang"),
-        F.size(F.filter("_metas", lambda t: F.startswith(F.lower(_attribute(t, "property")), F.lit("og:")))).alias("og_count"),
-        F.size("blocks").alias("jsonld_blocks"),
-        (F.size("blocks") - F.size(valid)).alias("jsonld_invalid"),
-        F.array_distinct(types).alias("jsonld_types"),
-        F.length(text.squeezed(F.regexp_replace("_bare", r"(?is)<title[^>]*>.*?</title>|<[^>]*>", " "))).alias("text_chars"),
-        text.page_directives(_attribute(_tag(F.col("_metas"), "name", "robots"), "content"), F.col("x_robots"), "googlebot").alias("directives"),
-        (_tag(F.col("_metas"), "name", "naver-site-verification") != "").alias("naver_verified"),
+        "title",
+        "description",
+        urls.absolute(base, c("canonical")).alias("canonical"),
+        "lang",
+        "h1",
+        F.transform("refs", lambda x: urls.absolute(base, x)).alias("links"),
+        F.array_sort(F.array_distinct(F.transform("alternates", lambda a: F.concat(a["lang"], F.lit(" "), urls.absolute(base, a["href"]))))).alias("hreflang"),
+        F.size("og").alias("og_count"),
+        (F.size("jsonld") + c("jsonld_invalid")).alias("jsonld_blocks"),
+        "jsonld_invalid",
+        "jsonld_types",
+        F.length("text").alias("text_chars"),
+        text.page_directives(c("robots"), c("x_robots"), "googlebot", c("googlebot")).alias("directives"),
+        "naver_verified",
     )
 
 
@@ -93,11 +75,23 @@ def membership(found: DataFrame) -> DataFrame:
 
 
 def linked(found: DataFrame) -> DataFrame:
-    """(page_id, url, linked): whether another page of the same host links to a page. Equal pages by link key share what is linked."""
+    """(page_id, url, linked): whether another page of the same host links to a page, at its own URL or the one that it leads to. Equal pages by link key share what is linked.
+
+    A host's start page, and where it leads to, is reached by definition.
+    """
     key = urls.link_key(F.col("url"))
+    start = F.regexp_like("url", F.lit(r"^[^:/?#]+://[^/?#]*/?$"))
+    pages = found.select("page_id", "url", key.alias("key"), urls.link_key(F.col("final_url")).alias("leads"), start.alias("start"))
     out = found.select(key.alias("of"), F.explode("links").alias("to"), urls.host(F.col("url")).alias("h")).where(urls.host(F.col("to")) == F.col("h"))
-    out = out.select("of", urls.link_key(F.col("to")).alias("key")).where("of <> key").select("key").distinct().withColumn("linked", F.lit(True))
-    return found.select("page_id", "url", key.alias("key")).join(out, "key", "left").select("page_id", "url", F.coalesce("linked", F.lit(False)).alias("linked"))
+    out = out.select("of", urls.link_key(F.col("to")).alias("key")).where("of <> key").select("key")
+    reached = out.unionByName(pages.where("start").select("leads").withColumnRenamed("leads", "key")).distinct().withColumn("linked", F.lit(True))
+    by_key = pages.join(reached, "key", "left").join(reached.select(F.col("key").alias("leads"), F.col("linked").alias("led")), "leads", "left")
+    return by_key.select("page_id", "url", (F.coalesce("linked", F.lit(False)) | F.coalesce("led", F.lit(False)) | F.col("start")).alias("linked"))
+
+
+def facts(found: DataFrame) -> DataFrame:
+    """What rules ask of records, without links and texts, as a written table: records are read once, whatever the number of rules."""
+    return kept(found.select("page_id", "url", "status", "intended_indexable", "title", "description", "canonical", "h1", "jsonld_blocks", "jsonld_invalid", "jsonld_types", "text_chars", "directives", "naver_verified"), "facts")
 
 
 def page_rules() -> list[tuple[str, str, str, Column]]:
@@ -161,6 +155,7 @@ def site_findings(found: DataFrame) -> DataFrame:
 
 def findings(found: DataFrame) -> DataFrame:
     """(code, lane, severity, pages, urls) of the audit: for each code its pages and the first few URLs. More than half of thin pages make THIN_TEXT critical."""
+    found = facts(found)
     by_page = page_findings(found).unionByName(shared_values(found, "title", "TITLE_DUPLICATE")).unionByName(shared_values(found, "description", "DESC_DUPLICATE"))
     # the first URLs only: tasks keep so many of each code before they send them
     first = by_page.withColumn("place", F.row_number().over(Window.partitionBy("code").orderBy("url", "page_id"))).where(F.col("place") <= EVIDENCE)
@@ -196,11 +191,11 @@ def lane_changes(before: DataFrame, after: DataFrame) -> DataFrame:
     return both.withColumn("change", change)
 
 
-def metrics(found: DataFrame, sitemap_urls: int | None = None) -> DataFrame:
-    """(metric, value): pages, dup_titles, jsonld_pages and noindex of pages of status 200."""
-    ok = ok_pages(found)
+def metrics(found: DataFrame) -> DataFrame:
+    """(metric, value): pages, dup_titles, jsonld_pages (with a readable block) and noindex of pages of status 200."""
+    ok = ok_pages(kept(found.select("status", "title", "jsonld_blocks", "jsonld_invalid", "directives"), "metrics"))
     dup = ok.where("title <> ''").groupBy("title").agg(F.count("*").alias("n")).agg(F.coalesce(F.sum(F.when(F.col("n") > 1, F.col("n"))), F.lit(0)).alias("dup_titles"))
-    one = ok.agg(F.count("*").alias("pages"), F.count_if(F.col("jsonld_blocks") > 0).alias("jsonld_pages"), F.count_if(~indexable()).alias("noindex"))
+    one = ok.agg(F.count("*").alias("pages"), F.count_if(F.col("jsonld_blocks") > F.col("jsonld_invalid")).alias("jsonld_pages"), F.count_if(~indexable()).alias("noindex"))
     # two single rows
     wide = one.join(dup)
     names = ["pages", "dup_titles", "jsonld_pages", "noindex"]

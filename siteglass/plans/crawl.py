@@ -21,6 +21,8 @@ NOT_SELF = f"(NOT no_canonical AND {FOLD.format('coalesce(other_canonical, page_
 FINDINGS = f"""{C}, ok AS (SELECT * FROM rec WHERE status = 200), f AS (
     SELECT page_id, url, 'NOINDEX' AS code, 'SEO' AS lane, 'critical' AS severity FROM ok WHERE noindex AND intended
     UNION ALL SELECT page_id, url, 'INTENTIONAL_NOINDEX', 'SEO', 'info' FROM ok WHERE noindex AND NOT intended
+    UNION ALL SELECT page_id, url, 'SNIPPET_RESTRICTED', 'AEO', 'warn' FROM ok WHERE nosnippet
+    UNION ALL SELECT page_id, url, 'DESC_TOO_LONG', 'SEO', 'info' FROM ok WHERE length(description) > 160
     UNION ALL SELECT page_id, url, 'TITLE_MISSING', 'SEO', 'critical' FROM ok WHERE title = ''
     UNION ALL SELECT page_id, url, 'TITLE_TOO_LONG', 'SEO', 'info' FROM ok WHERE length(title) > CASE WHEN {KO} THEN 30 ELSE 60 END
     UNION ALL SELECT page_id, url, 'TITLE_TOO_SHORT', 'SEO', 'warn' FROM ok WHERE title <> '' AND length(title) < CASE WHEN {KO} THEN 10 ELSE 20 END
@@ -75,8 +77,9 @@ def u18_absolute_links(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @query(f"""{C}, l AS (SELECT {LINK.format('url')} AS own, unnest(links) AS goal, {HOST.format('url')} AS h FROM rec),
-    k AS (SELECT DISTINCT {LINK.format('goal')} AS key FROM l WHERE {HOST.format('goal')} = h AND own <> {LINK.format('goal')})
-    SELECT page_id, url, {LINK.format('url')} IN (SELECT key FROM k) AS linked FROM rec""")
+    k AS (SELECT DISTINCT {LINK.format('goal')} AS key FROM l WHERE {HOST.format('goal')} = h AND own <> {LINK.format('goal')}
+        UNION SELECT {LINK.format('base')} FROM rec WHERE regexp_matches(url, '^[^:/?#]+://[^/?#]*/?$'))
+    SELECT page_id, url, {LINK.format('url')} IN (SELECT key FROM k) OR {LINK.format('base')} IN (SELECT key FROM k) OR regexp_matches(url, '^[^:/?#]+://[^/?#]*/?$') AS linked FROM rec""")
 def j33_reachability(spark: SparkSession, sf_dir: str) -> DataFrame:
     return crawl.linked(_records(spark, sf_dir))
 
@@ -115,7 +118,7 @@ def j10_lane_changes(spark: SparkSession, sf_dir: str) -> DataFrame:
     return crawl.lane_changes(board, board.withColumn("state", after))
 
 
-METRICS = "SELECT unnest(['pages', 'dup_titles', 'jsonld_pages', 'noindex']) AS metric, unnest([count(*), coalesce(sum(CASE WHEN title <> '' AND n > 1 THEN 1 ELSE 0 END), 0)::BIGINT, count(*) FILTER (blocks > 0), count(*) FILTER (noindex)]) AS value FROM (SELECT *, count(*) OVER (PARTITION BY title) AS n FROM {0})"
+METRICS = "SELECT unnest(['pages', 'dup_titles', 'jsonld_pages', 'noindex']) AS metric, unnest([count(*), coalesce(sum(CASE WHEN title <> '' AND n > 1 THEN 1 ELSE 0 END), 0)::BIGINT, count(*) FILTER (blocks > invalid), count(*) FILTER (noindex)]) AS value FROM (SELECT *, count(*) OVER (PARTITION BY title) AS n FROM {0})"
 
 
 @query(f"{C}, ok AS (SELECT * FROM rec WHERE status = 200) {METRICS.format('ok')}")
@@ -136,7 +139,7 @@ def a35_label_usage(spark: SparkSession, sf_dir: str) -> DataFrame:
     return crawl.labels(_records(spark, sf_dir))
 
 
-@query(f"{C} SELECT type, count(*) AS pages FROM rec WHERE status = 200 AND type IS NOT NULL GROUP BY type")
+@query(f"{C} SELECT type, count(*) AS pages FROM (SELECT unnest(types) AS type FROM rec WHERE status = 200) GROUP BY type")
 def a19_types(spark: SparkSession, sf_dir: str) -> DataFrame:
     return crawl.type_frequencies(_records(spark, sf_dir))
 
@@ -207,12 +210,33 @@ def n03_parsers(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "events").select("event_id", parsing.zoned_timestamp(stamp).alias("zoned"), parsing.exact_decimal(raw).alias("exact"), parsing.position(raw).alias("position"))
 
 
-@query("""SELECT event_id, CASE event_id % 5 WHEN 0 THEN ['nofollow', 'noindex'] WHEN 1 THEN ['max-snippet:0', 'noindex'] WHEN 2 THEN ['noindex'] WHEN 3 THEN ['nosnippet'] ELSE [] END AS directives FROM events""")
+#: Metas and header lines made of the words that a page links to; SQL reads them again by itself.
+WORDS = "list_transform(regexp_extract_all(coalesce(html, ''), 'href=\"/([^\"]*)\"', 1), lambda w: lower(w))"
+DIRECTIVES = f"""WITH w AS (SELECT page_id, {WORDS} AS w FROM pages),
+    raw AS (SELECT page_id, coalesce(w[1], '') || ' ; NoIndex' || coalesce(w[2], 'x') || ',' || coalesce(w[3], '') AS meta, 'max-snippet : ' || len(w) AS own,
+        ['noarchive, Google' || CASE WHEN length(coalesce(w[4], '')) % 2 = 0 THEN 'bot' ELSE 'er-bot' END || ': none, ' || coalesce(w[4], 'y'), coalesce(w[5], '') || ', otherbot: nofollow, x:' || coalesce(w[6], ''), 'noimageindex;' || coalesce(w[7], '')] AS lines FROM w),
+    ln AS (SELECT page_id, generate_subscripts(lines, 1) AS line, string_split(unnest(lines), ',') AS parts FROM raw),
+    seg AS (SELECT page_id, line, generate_subscripts(parts, 1) AS n, unnest(parts) AS x FROM ln),
+    sc AS (SELECT *, nullif(lower(regexp_extract(x, '(?is)^\\s*(googlebot-news|[\\p{{L}}\\p{{N}}_-]+(?:bot|user))\\s*:', 1)), '') AS named FROM seg),
+    held AS (SELECT *, last_value(named IGNORE NULLS) OVER (PARTITION BY page_id, line ORDER BY n ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS scope FROM sc),
+    said AS (SELECT page_id, CASE WHEN named IS NULL THEN x ELSE regexp_replace(x, '^[^:]*:', '') END AS v FROM held WHERE scope IS NULL OR scope = 'googlebot' UNION ALL SELECT page_id, meta FROM raw UNION ALL SELECT page_id, own FROM raw),
+    tok AS (SELECT page_id, unnest(regexp_split_to_array(regexp_replace(lower(v), '\\s*:\\s*', ':', 'g'), '[,;\\s]+')) AS t FROM said),
+    al AS (SELECT DISTINCT page_id, t FROM tok WHERE t <> '' UNION SELECT page_id, unnest(['noindex', 'nofollow']) FROM tok WHERE t = 'none')
+    SELECT page_id, list_sort(list(t)) AS directives FROM al GROUP BY page_id"""
+
+
+@query(DIRECTIVES)
 def t13_directives(spark: SparkSession, sf_dir: str) -> DataFrame:
-    i = F.col("event_id") % 5
-    meta = F.when(i == 1, "NOINDEX, max-snippet: 0").when(i == 3, "nosnippet")
-    header = F.when(i == 0, "googlebot: none").when(i == 2, "otherbot: nofollow, nosnippet\nnone-bot: all, googlebot: noindex").when(i == 3, "otherbot: noindex, nofollow")
-    return table(spark, sf_dir, "events").select("event_id", text.page_directives(meta, header, "googlebot").alias("directives"))
+    p = table(spark, sf_dir, "pages").withColumn("w", F.transform(F.regexp_extract_all(F.coalesce("html", F.lit("")), F.lit('href="/([^"]*)"'), F.lit(1)), lambda w: F.lower(w)))
+    word = lambda k, none="": F.coalesce(F.try_element_at("w", F.lit(k)), F.lit(none))
+    meta = F.concat(word(1), F.lit(" ; NoIndex"), word(2, "x"), F.lit(","), word(3))
+    own = F.concat(F.lit("max-snippet : "), F.size("w").cast("string"))
+    lines = [
+        F.concat(F.lit("noarchive, Google"), F.when(F.length(word(4)) % 2 == 0, "bot").otherwise("er-bot"), F.lit(": none, "), word(4, "y")),
+        F.concat(word(5), F.lit(", otherbot: nofollow, x:"), word(6)),
+        F.concat(F.lit("noimageindex;"), word(7)),
+    ]
+    return p.select("page_id", text.page_directives(meta, F.concat_ws("\n", *lines), "Googlebot", own).alias("directives"))
 
 
 @query("""SELECT doc_id, regexp_matches(coalesce(text, '') || CASE WHEN doc_id % 3 = 0 THEN ' <<TODO price>>' WHEN doc_id % 3 = 1 THEN chr(10) || '- [ ] later' ELSE '' END, '(?i)<<\\s*todo|\\[(?:todo|tbd|insert)[^\\]]*\\]|\\{\\{[^}]*\\}\\}|\\blorem ipsum\\b') AS placeholder,

@@ -63,12 +63,14 @@ def crawled(spark: SparkSession, sf_dir: str) -> DataFrame:
     """pages as an audit's crawl: with statuses, header directives, redirects, and some marks that pages lack; see CRAWLED_SQL."""
     p, i = table(spark, sf_dir, "pages"), F.col("page_id")
     more = [
-        F.when(i % 4 == 0, F.concat(F.lit('<script type="application/ld+json">{"@type": "'), F.when(i % 8 == 0, "FAQPage").otherwise("Organization"), F.lit('"}</script>'))),
+        F.when(i % 4 == 0, F.concat(F.lit('<script type="application/ld+json">{"@type": "'), F.when(i % 8 == 0, "FAQPage").otherwise("Organization"), F.when(i % 16 == 4, F.lit('", "a": {"@type": ["Thing", "Place"]}}</script>')).otherwise(F.lit('"}</script>')))),
         F.when(i % 20 == 3, F.lit('<script type="application/ld+json">{"@type": </script>')),
-        F.when(i % 5 == 0, F.concat(F.lit('<meta name="description" content="About '), (i % 30).cast("string"), F.lit('">'))),
+        F.when(i % 5 == 0, F.concat(F.lit('<meta name="description" content="About &quot;'), (i % 30).cast("string"), F.when(i % 25 == 0, F.repeat(F.lit(" &amp; more"), 30)).otherwise(""), F.lit('">'))),
+        F.when(i % 21 == 1, F.lit('<meta name=googlebot content="nosnippet; noarchive">')),
         F.when(i % 6 == 0, F.concat(F.lit('<link rel="canonical" href="'), F.when(i % 12 == 0, "/elsewhere").otherwise(F.col("url")), F.lit('">'))),
         F.when(i % 7 == 0, F.lit("<h1>Another</h1>")),
         F.when(i % 9 == 4, F.concat(F.lit("<a href='//"), F.regexp_extract("url", "://([^/]*)", 1), F.lit("/seen/"), (i % 50).cast("string"), F.lit("#x'>seen</a>"))),
+        F.when(i % 11 == 2, F.lit("<a href=/bare?a=1&amp;b=2>bare</a>")),
     ]
     return p.select(
         i,
@@ -81,28 +83,46 @@ def crawled(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
-CRAWLED_SQL = r"""
+def decoded(sql: str) -> str:
+    """SQL with DECODED[x] written out: x with the references that pages have decoded."""
+    while "DECODED[" in sql:
+        a = sql.rindex("DECODED[")
+        b, open_ = a + 8, 1
+        while open_:
+            open_ += {"[": 1, "]": -1}.get(sql[b], 0)
+            b += 1
+        x = sql[a + 8 : b - 1]
+        for reference, character in (("&copy;", "©"), ("&middot;", "·"), ("&quot;", '"'), ("&amp;", "&")):
+            x = f"replace({x}, '{reference}', '{character}')"
+        sql = sql[:a] + x + sql[b:]
+    return sql
+
+
+CRAWLED_SQL = decoded(r"""
     crawled AS (SELECT page_id, CASE WHEN page_id % 9 = 5 THEN regexp_extract(url, '^([^:]*://[^/]*)', 1) || '/seen/' || page_id % 50 ELSE url END AS url,
         CASE WHEN page_id % 10 = 7 THEN url || '/moved' END AS final_url,
         CASE page_id % 13 WHEN 0 THEN 404 WHEN 1 THEN 503 WHEN 2 THEN NULL WHEN 3 THEN 500 ELSE 200 END AS status,
-        CASE WHEN page_id % 9 IN (0, 1) THEN true ELSE false END AS noindex, page_id % 18 <> 0 AS intended,
-        coalesce(html, '') || CASE WHEN page_id % 4 = 0 THEN '<script type="application/ld+json">{"@type": "' || CASE WHEN page_id % 8 = 0 THEN 'FAQPage' ELSE 'Organization' END || '"}</script>' ELSE '' END
+        page_id % 9 IN (0, 1) AS noindex, page_id % 21 = 1 AS nosnippet, page_id % 18 <> 0 AS intended,
+        coalesce(html, '') || CASE WHEN page_id % 4 = 0 THEN '<script type="application/ld+json">{"@type": "' || CASE WHEN page_id % 8 = 0 THEN 'FAQPage' ELSE 'Organization' END || CASE WHEN page_id % 16 = 4 THEN '", "a": {"@type": ["Thing", "Place"]}}</script>' ELSE '"}</script>' END ELSE '' END
             || CASE WHEN page_id % 20 = 3 THEN '<script type="application/ld+json">{"@type": </script>' ELSE '' END
-            || CASE WHEN page_id % 5 = 0 THEN '<meta name="description" content="About ' || page_id % 30 || '">' ELSE '' END
+            || CASE WHEN page_id % 5 = 0 THEN '<meta name="description" content="About &quot;' || page_id % 30 || CASE WHEN page_id % 25 = 0 THEN repeat(' &amp; more', 30) ELSE '' END || '">' ELSE '' END
+            || CASE WHEN page_id % 21 = 1 THEN '<meta name=googlebot content="nosnippet; noarchive">' ELSE '' END
             || CASE WHEN page_id % 6 = 0 THEN '<link rel="canonical" href="' || CASE WHEN page_id % 12 = 0 THEN '/elsewhere' ELSE url END || '">' ELSE '' END
             || CASE WHEN page_id % 7 = 0 THEN '<h1>Another</h1>' ELSE '' END
-            || CASE WHEN page_id % 9 = 4 THEN '<a href=''//' || regexp_extract(url, '://([^/]*)', 1) || '/seen/' || page_id % 50 || '#x''>seen</a>' ELSE '' END AS html FROM pages),
-    plain AS (SELECT *, coalesce(final_url, url) AS base, regexp_replace(html, '(?is)<!--.*?-->|<script\b[^>]*>.*?</script\s*>|<style\b[^>]*>.*?</style\s*>|<noscript\b[^>]*>.*?</noscript\s*>|<template\b[^>]*>.*?</template\s*>', ' ', 'g') AS bare FROM crawled),
-    rec AS (SELECT page_id, url, base, status, noindex, intended,
-        trim(regexp_replace(regexp_extract(bare, '(?is)<title[^>]*>(.*?)</title>', 1), '\s+', ' ', 'g')) AS title,
-        CASE WHEN page_id % 5 = 0 THEN 'About ' || page_id % 30 ELSE '' END AS description,
+            || CASE WHEN page_id % 9 = 4 THEN '<a href=''//' || regexp_extract(url, '://([^/]*)', 1) || '/seen/' || page_id % 50 || '#x''>seen</a>' ELSE '' END
+            || CASE WHEN page_id % 11 = 2 THEN '<a href=/bare?a=1&amp;b=2>bare</a>' ELSE '' END AS html FROM pages),
+    plain AS (SELECT *, coalesce(final_url, url) AS base, regexp_replace(html, '(?is)<!--.*?-->|<script\b[^>]*>.*?</script\s*>|<style\b[^>]*>.*?</style\s*>|<noscript\b[^>]*>.*?</noscript\s*>|<template\b[^>]*>.*?</template\s*>', '', 'g') AS bare FROM crawled),
+    rec AS (SELECT page_id, url, base, status, noindex, nosnippet, intended,
+        trim(regexp_replace(DECODED[regexp_extract(bare, '(?is)<title[^>]*>(.*?)</title>', 1)], '\s+', ' ', 'g')) AS title,
+        CASE WHEN page_id % 5 = 0 THEN 'About "' || page_id % 30 || CASE WHEN page_id % 25 = 0 THEN repeat(' & more', 30) ELSE '' END ELSE '' END AS description,
         CASE WHEN page_id % 12 = 0 THEN regexp_extract(base, '^([^:]*://[^/?#]*)', 1) || '/elsewhere' END AS other_canonical, page_id % 6 <> 0 AS no_canonical,
         (SELECT url FROM pages p WHERE p.page_id = plain.page_id) AS page_url,
-        list_transform(regexp_extract_all(bare, '(?is)<h1\b[^>]*>(.*?)</h1>', 1), lambda x: trim(regexp_replace(regexp_replace(x, '<[^>]*>', ' ', 'g'), '\s+', ' ', 'g'))) AS h1,
-        list_transform(regexp_extract_all(bare, '(?is)<a\s[^>]*href\s*=\s*["'']([^"'']*)["'']', 1), lambda x: regexp_replace(
+        list_transform(regexp_extract_all(bare, '(?is)<h1\b[^>]*>(.*?)</h1>', 1), lambda x: trim(regexp_replace(DECODED[regexp_replace(x, '<[^>]*>', '', 'g')], '\s+', ' ', 'g'))) AS h1,
+        list_transform(list_transform(regexp_extract_all(bare, '(?is)<a\s[^>]*href\s*=\s*("[^"]*"|''[^'']*''|[^\s"''>]+)', 1), lambda h: DECODED[trim(h, '"''')]), lambda x: regexp_replace(
             CASE WHEN starts_with(x, '//') THEN regexp_extract(base, '^([^:]*:)', 1) || x WHEN starts_with(x, '/') THEN regexp_extract(base, '^([^:]*://[^/?#]*)', 1) || x ELSE x END, '#.*$', '')) AS links,
-        CAST(length(trim(regexp_replace(regexp_replace(bare, '(?is)<title[^>]*>.*?</title>|<[^>]*>', ' ', 'g'), '\s+', ' ', 'g'))) AS INTEGER) AS text_chars,
+        CAST(length(trim(regexp_replace(DECODED[regexp_replace(bare, '<[^>]*>', '', 'g')], '\s+', ' ', 'g'))) AS INTEGER) AS text_chars,
         CASE WHEN page_id % 4 = 0 THEN 1 ELSE 0 END + CASE WHEN page_id % 20 = 3 THEN 1 ELSE 0 END AS blocks,
         CASE WHEN page_id % 20 = 3 THEN 1 ELSE 0 END AS invalid,
-        CASE WHEN page_id % 8 = 0 THEN 'FAQPage' WHEN page_id % 4 = 0 THEN 'Organization' END AS type FROM plain)
-"""
+        CASE WHEN page_id % 8 = 0 THEN 'FAQPage' WHEN page_id % 4 = 0 THEN 'Organization' END AS type,
+        CASE WHEN page_id % 8 = 0 THEN ['FAQPage'] WHEN page_id % 16 = 4 THEN ['Organization', 'Place', 'Thing'] WHEN page_id % 4 = 0 THEN ['Organization'] ELSE [] END AS types FROM plain)
+""")

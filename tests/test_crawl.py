@@ -30,14 +30,15 @@ def test_page_record(spark):
     r = crawl.records(pages).orderBy("page_id").collect()
     assert (r[0].title, r[0].description, r[0].canonical, r[0].lang, r[0].h1) == ("A title | Shop", "About it", "http://h.org/a?x=1", "ko", ["First one", "Two"])
     assert r[0].links == ["http://h.org/d/next", "http://h.org/d/p", "http://other.org/y"] and r[0].hreflang == ["en http://h.org/en"] and r[0].og_count == 1
-    assert (r[0].jsonld_blocks, r[0].jsonld_invalid, r[0].jsonld_types) == (2, 1, ["FAQPage"]) and r[0].directives == ["max-snippet:0", "noindex", "nosnippet"]
+    assert (r[0].jsonld_blocks, r[0].jsonld_invalid, r[0].jsonld_types) == (2, 1, ["FAQPage"]) and r[0].directives == ["max-snippet:0", "noindex", "nosnippet", "other:none"]
     assert (r[1].title, r[1].h1, r[1].text_chars, r[1].canonical) == ("", [], 0, None)
     codes = {f.code for f in crawl.page_findings(crawl.records(pages)).where("page_id = 1").collect()}
     assert {"NOINDEX", "SNIPPET_RESTRICTED", "CANONICAL_NOT_SELF", "H1_MULTIPLE", "JSONLD_INVALID", "THIN_TEXT"} <= codes and not codes & {"JSONLD_MISSING", "TITLE_MISSING", "CANONICAL_MISSING"}
 
 
 def test_directives_keep_their_scope(spark):
-    cases = [("noindex", None, ["noindex"]), (None, "none", ["nofollow", "noindex"]), (None, "otherbot: noindex, nofollow", []), ("all", "googlebot: max-snippet:0, nosnippet", ["all", "max-snippet:0", "nosnippet"]), (None, "otherbot: noindex\ngooglebot: nofollow", ["nofollow"])]
+    cases = [("noindex", None, ["noindex"]), (None, "none", ["nofollow", "noindex", "none"]), (None, "otherbot: noindex, nofollow", []), ("all", "googlebot: max-snippet:0, nosnippet", ["all", "max-snippet:0", "nosnippet"]), (None, "otherbot: noindex\ngooglebot: nofollow", ["nofollow"])]
+    cases += [("noindex nofollow", None, ["nofollow", "noindex"]), (None, "otherbot: noindex\nnoindex", ["noindex"]), (None, "x: noindex", ["x:noindex"]), ("a;b", "googlebot-news: noindex, nosnippet", ["a", "b"]), (None, "GoogleBot : noindex , nofollow\r\notheruser: all", ["nofollow", "noindex"])]
     got = spark.createDataFrame(cases, "m string, h string, want array<string>").select("want", text.page_directives(F.col("m"), F.col("h"), "Googlebot").alias("got")).collect()
     assert all(r.want == r.got for r in got), got
 

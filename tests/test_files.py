@@ -1,7 +1,6 @@
 from pyspark.sql import functions as F
 
 from siteglass.functions import parsing
-from siteglass.operators import sitemaps
 from siteglass.sources import files
 
 
@@ -33,15 +32,6 @@ def test_search_export_in_two_languages(spark, tmp_path):
     assert [tuple(r) for r in files.search_export(spark, str(tmp_path / "ko.csv")).collect()] == [("2024-01-01", 1, 4, 0.25, 2.0)]
 
 
-def test_sitemap_chunks_read_back(spark, tmp_path):
-    entries = spark.range(250).select(F.concat(F.lit("https://h/?a=1&b="), F.col("id").cast("string")).alias("loc"))
-    sitemaps.write_chunks(entries.repartition(2), str(tmp_path / "out"), per_file=100)
-    parts = list((tmp_path / "out").glob("part-*"))
-    assert parts and all(p.read_text().count("<loc>") <= 100 for p in parts)
-    got = files.sitemap(spark, str(tmp_path / "out")).select("loc")
-    assert sorted(r.loc for r in got.collect()) == sorted(r.loc for r in entries.collect())
-
-
 def test_access_log(spark, tmp_path):
     (tmp_path / "access.log").write_text('1.2.3.4 - - [01/Jan/2024:00:00:00 +0000] "GET /a HTTP/1.1" 404 12 "-" "GPTBot/1.0"\nnoise\n')
     assert [tuple(r) for r in files.access_log(spark, str(tmp_path / "access.log")).collect()] == [("1.2.3.4", "GET", "/a", 404, "GPTBot/1.0")]

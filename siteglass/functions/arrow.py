@@ -72,6 +72,12 @@ def folded(x: pd.Series) -> pd.Series:
     return x.map(lambda v: None if v is None else " ".join(unicodedata.normalize("NFKC", v).casefold().split()))
 
 
+@F.pandas_udf(T.StringType())
+def caseless(x: pd.Series) -> pd.Series:
+    """Text without case, as it is otherwise."""
+    return x.map(lambda v: None if v is None else v.casefold())
+
+
 @F.pandas_udf(T.StringType())
 def address_class(x: pd.Series) -> pd.Series:
     """public, private, loopback, link_local, multicast, reserved or unspecified; null for what is no address. An IPv4 address in IPv6 form counts as itself."""

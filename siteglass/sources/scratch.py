@@ -5,20 +5,24 @@ from __future__ import annotations
 import tempfile
 import uuid
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 
 _own: dict[str, str] = {}
 
 
-def kept(df: DataFrame, name: str) -> DataFrame:
-    """df as a Parquet table under spark.checkpoint.dir; where that is unset, in a temporary folder if all is one process, and else in the warehouse."""
-    spark = df.sparkSession
+def folder(spark: SparkSession, name: str) -> str:
+    """A new folder under spark.checkpoint.dir; where that is unset, in a temporary folder if all is one process, and else in the warehouse."""
     app = spark.sparkContext.applicationId
     base = spark.conf.get("spark.checkpoint.dir", None)
     if not base and spark.sparkContext.master.partition("[")[0] == "local":
         base = _own.setdefault(app, "file://" + tempfile.mkdtemp(prefix="siteglass-"))
     elif not base:
         base = spark.conf.get("spark.sql.warehouse.dir").rstrip("/") + "/_scratch"
-    path = f"{base.rstrip('/')}/{app}/{name}-{uuid.uuid4().hex}"
+    return f"{base.rstrip('/')}/{app}/{name}-{uuid.uuid4().hex}"
+
+
+def kept(df: DataFrame, name: str) -> DataFrame:
+    """df as a Parquet table in a folder of its own. It cuts the lineage, and survives lost executors."""
+    path = folder(df.sparkSession, name)
     df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)

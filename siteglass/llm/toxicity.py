@@ -32,6 +32,8 @@ from .common import table, text_batches, written
 SAMPLE_ROWS = 20_000
 FEATURES = 384
 GRADES = 3
+#: Texts whose words a worker holds at a time.
+SET_ROWS = 32
 #: Texts of the sample in which a word must be.
 LEAST_TEXTS = 5
 #: Lengths of the beginnings of words that are features like words.
@@ -111,8 +113,11 @@ def train(docs: DataFrame, labels: DataFrame, sample_rows: int = SAMPLE_ROWS) ->
 
     def words(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            sets = [sorted(features(x)) for x in b.column(2).to_pylist()]
-            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(sets, pa.list_(pa.string()))], ["doc_id", "toxic", "words"])
+            # words of a few texts at a time: as Python objects they are many times the texts
+            for a in range(0, b.num_rows, SET_ROWS):
+                some = b.slice(a, SET_ROWS)
+                sets = [sorted(features(x.as_py())) for x in some.column(2)]
+                yield pa.RecordBatch.from_arrays([some.column(0), some.column(1), pa.array(sets, pa.list_(pa.string()))], ["doc_id", "toxic", "words"])
 
     sets = texts.mapInArrow(words, "doc_id long, toxic int, words array<string>")
     least = [F.array_min(F.transform("words", _hashed(seed))) for seed in range(4)]
@@ -154,7 +159,7 @@ def severity(docs: DataFrame, model: Model) -> DataFrame:
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            p = model.at_least(np.array([model.score(x) for x in b.column(at).to_pylist()]))
+            p = model.at_least(np.array([model.score(x.as_py()) for x in b.column(at)]))
             mass = -np.diff(np.concatenate([np.ones((len(p), 1)), p, np.zeros((len(p), 1))], 1))
             yield pa.RecordBatch.from_arrays([*b.columns, pa.array(p.sum(1)), pa.array(mass.argmax(1), pa.int32()), pa.array(p[:, 0] >= 0.5)], [*names, *[f.name for f in new]])
 

@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from .functions import text, urls
 from .functions.stats import wilson_sql
 from .operators import audit, measure
-from .plans import catalogue, crawl, inputs, jobs, jsonld, lines, more, planning, reports, research, robots, scope, sitemaps
+from .plans import catalogue, crawl, deploy, inputs, jobs, jsonld, lines, more, planning, reports, research, review, robots, scope, sitemaps
 from .sources.tables import ENGINES, OBSERVATIONS_SQL, observations, table
 
 FLAGSHIP = "a04_rates"
@@ -219,6 +219,6 @@ def t08_length_verdict(spark: SparkSession, sf_dir: str) -> DataFrame:
     return audit.facts(table(spark, sf_dir, "pages")).select("page_id", text.length_verdict(F.col("title"), "title").alias("verdict"))
 
 
-for part in (more, crawl, planning, jsonld, jobs, robots, research, sitemaps, scope, catalogue, inputs, lines, reports):
+for part in (more, crawl, planning, jsonld, jobs, robots, research, sitemaps, scope, catalogue, inputs, lines, reports, deploy, review):
     QUERIES |= part.QUERIES
     ORACLES |= part.ORACLES

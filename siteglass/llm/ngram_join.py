@@ -41,7 +41,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import checked_broadcast, drop, table, text_batches, written
+from .common import checked_broadcast, drop, table, text_batches, trimmed, written
 from .components import components, forest
 from .wordhash import U, mix, shingle_sets
 
@@ -130,7 +130,7 @@ def _sets(docs: DataFrame, width: int, carry: list[str]) -> DataFrame:
                 key.append(set_key(s) if len(s) else None)
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array(n, pa.int64()), pa.array(key, pa.int64()), *b.columns[2:]], ["doc_id", "n_shingles", "key", *carry])
 
-    return docs.mapInArrow(work, ", ".join(["doc_id long, n_shingles long, key long", *(f"{c} long" for c in carry)]))
+    return docs.mapInArrow(trimmed(work), ", ".join(["doc_id long, n_shingles long, key long", *(f"{c} long" for c in carry)]))
 
 
 def _packed(docs: DataFrame, width: int, percent: int, buckets: int) -> DataFrame:
@@ -165,7 +165,7 @@ def _packed(docs: DataFrame, width: int, percent: int, buckets: int) -> DataFram
         if rows:
             yield pack(sigs, keys)
 
-    return docs.select("text").mapInArrow(work, "bucket int, signatures binary")
+    return docs.select("text").mapInArrow(trimmed(work), "bucket int, signatures binary")
 
 
 def _edges(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -323,10 +323,10 @@ def _reconnected(shared: DataFrame, rows: DataFrame, width: int, percent: int) -
             yield pa.RecordBatch.from_arrays([pa.array(a), pa.array(b)], ["a", "b"])
 
     # a set of several rows once
-    sketches = written(rows.select("key", "n", "text").mapInArrow(sketched, "key long, n long, sketch binary"), "sketches").dropDuplicates(["key"])
-    each = shared.where("entries is not null").select("bucket", "entries").mapInArrow(entries, "group long, key long")
+    sketches = written(rows.select("key", "n", "text").mapInArrow(trimmed(sketched), "key long, n long, sketch binary"), "sketches").dropDuplicates(["key"])
+    each = shared.where("entries is not null").select("bucket", "entries").mapInArrow(trimmed(entries), "group long, key long")
     dealt = each.join(checked_broadcast(sketches), "key").select("group", "key", "n", "sketch").repartition("group").sortWithinPartitions("group")
-    return dealt.mapInArrow(joined, "a long, b long")
+    return dealt.mapInArrow(trimmed(joined), "a long, b long")
 
 
 def similar(sets: list[np.ndarray], label: np.ndarray, percent: int, first: np.ndarray | None = None) -> tuple[list[tuple[int, int]], np.ndarray]:
@@ -377,11 +377,11 @@ def _compared(rows: DataFrame, by: list[str], width: int, percent: int, offered:
     """
     names = ["cluster", "a", "b", "central"]
 
-    def judged(cluster: int, keys: list[int], labels: list[int], firsts: list[bool], texts: list[str]) -> Iterator[pa.RecordBatch]:
+    def judged(cluster: int, keys: list[int], labels: list[int], firsts: list[bool], hashed: list[np.ndarray]) -> Iterator[pa.RecordBatch]:
         key = np.array(keys, np.int64)
         keep = np.unique(key, return_index=True)[1]
         key, label, first = key[keep], np.array(labels, np.int64)[keep], np.array(firsts)[keep]
-        sets = [s for _, s in shingle_sets(pa.array([texts[i] for i in keep], pa.large_string()), width)]
+        sets = [hashed[i] for i in keep]
         links, central = similar(sets, np.unique(label, return_inverse=True)[1], percent, None if first.all() else first)
         a, b = forest(label[[x for x, _ in links]], label[[y for _, y in links]]) if links else (key[:0], key[:0])
         if not offered:
@@ -397,8 +397,10 @@ def _compared(rows: DataFrame, by: list[str], width: int, percent: int, offered:
         held: list[tuple] = []
         now = None
         for batch in batches:
-            for row in zip(*(c.to_pylist() for c in batch.columns), strict=True):
-                group, own = row[: len(by)], row[len(by) :]
+            # texts are hashed as they come, and only their sets are held
+            hashed = (s for _, s in shingle_sets(batch.column(len(by) + 3), width))
+            for *row, own_set in zip(*(c.to_pylist() for c in batch.columns[: len(by) + 3]), hashed, strict=True):
+                group, own = tuple(row[: len(by)]), (*row[len(by) :], own_set)
                 if group != now and held:
                     yield from judged(now[0], *map(list, zip(*held, strict=True)))
                     held = []
@@ -408,7 +410,7 @@ def _compared(rows: DataFrame, by: list[str], width: int, percent: int, offered:
             yield from judged(now[0], *map(list, zip(*held, strict=True)))
 
     dealt = rows.select(*by, "key", "label", "first", "text").repartition(*by).sortWithinPartitions(*by)
-    return dealt.mapInArrow(work, "cluster long, a long, b long, central double")
+    return dealt.mapInArrow(trimmed(work), "cluster long, a long, b long, central double")
 
 
 def _large_clusters(rows: DataFrame, width: int, percent: int, sets: int, shingles: int) -> DataFrame:
@@ -463,7 +465,7 @@ def similarity_classes(docs: DataFrame, width: int, percent: int, id: str = "doc
     # copies have one set; where a list of one document for each set is small, only these are signed
     firsts = docs.join(F.broadcast(nodes.select(F.col("id").alias("doc_id"), "copy")), ["doc_id", "copy"], "left_semi") if count <= 1_000_000 else docs
     dealt = _packed(firsts, width, percent, buckets).repartition("bucket").sortWithinPartitions("bucket")
-    shared = written(dealt.mapInArrow(_edges, "a long, b long, bucket int, entries binary"), "shared")
+    shared = written(dealt.mapInArrow(trimmed(_edges), "a long, b long, bucket int, entries binary"), "shared")
 
     def sized(edges: DataFrame) -> tuple[DataFrame, DataFrame]:
         """(clusters, their members with m and size, how many sets and shingles their cluster has)"""

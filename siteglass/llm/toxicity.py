@@ -27,7 +27,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import table, text_batches, written
+from .common import table, text_batches, trimmed, written
 
 SAMPLE_ROWS = 20_000
 FEATURES = 384
@@ -119,7 +119,7 @@ def train(docs: DataFrame, labels: DataFrame, sample_rows: int = SAMPLE_ROWS) ->
                 sets = [sorted(features(x.as_py())) for x in some.column(2)]
                 yield pa.RecordBatch.from_arrays([some.column(0), some.column(1), pa.array(sets, pa.list_(pa.string()))], ["doc_id", "toxic", "words"])
 
-    sets = texts.mapInArrow(words, "doc_id long, toxic int, words array<string>")
+    sets = texts.mapInArrow(trimmed(words), "doc_id long, toxic int, words array<string>")
     least = [F.array_min(F.transform("words", _hashed(seed))) for seed in range(4)]
     sets = written(sets.groupBy(F.xxhash64(*least).alias("key")).agg(F.max("toxic").alias("toxic"), F.min("doc_id").alias("doc_id"), F.min_by("words", F.struct("doc_id", "words")).alias("words")), "wordsets")
     size = sets.agg(F.count_if(F.col("toxic") == 0), F.count_if(F.col("toxic") > 0)).first()
@@ -138,7 +138,7 @@ def train(docs: DataFrame, labels: DataFrame, sample_rows: int = SAMPLE_ROWS) ->
             found = [[index[w] for w in x or [] if w in index] for x in rows]
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array(found, pa.list_(pa.int32())), b.column(2)], ["toxic", "found", "doc_id"])
 
-    data = sets.select("toxic", "words", "doc_id").mapInArrow(marks, "toxic int, found array<int>, doc_id long").sort("doc_id").toArrow()  # at most sample_rows rows of chosen words
+    data = sets.select("toxic", "words", "doc_id").mapInArrow(trimmed(marks), "toxic int, found array<int>, doc_id long").sort("doc_id").toArrow()  # at most sample_rows rows of chosen words
     found = data["found"].combine_chunks()
     per_row = found.value_lengths().to_numpy(zero_copy_only=False)
     word = found.flatten().to_numpy(zero_copy_only=False)
@@ -163,7 +163,7 @@ def severity(docs: DataFrame, model: Model) -> DataFrame:
             mass = -np.diff(np.concatenate([np.ones((len(p), 1)), p, np.zeros((len(p), 1))], 1))
             yield pa.RecordBatch.from_arrays([*b.columns, pa.array(p.sum(1)), pa.array(mass.argmax(1), pa.int32()), pa.array(p[:, 0] >= 0.5)], [*names, *[f.name for f in new]])
 
-    return docs.mapInArrow(work, T.StructType([*docs.schema.fields, *new]))
+    return docs.mapInArrow(trimmed(work), T.StructType([*docs.schema.fields, *new]))
 
 
 def op3_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:

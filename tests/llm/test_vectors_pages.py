@@ -304,3 +304,16 @@ def test_extract_odd_inputs(spark):
     assert {r.text for r in got if r.page_id in (1, 2)} == {""}
     assert len({r.text for r in got if r.page_id == 3}) == 1
     assert mincut_extract.extract(pages.where("false")).count() == 0
+
+
+@pytest.mark.parametrize(("measure", "width", "spread"), [("ip", 192, 0), ("l2", 64, 1.5)])
+def test_neighbours_are_found_where_codes_say_little(spark, measure, width, spread):
+    r = np.random.default_rng(5)
+    x = r.normal(size=(3000, width)) * np.exp(spread * r.normal(size=3000))[:, None]
+    rows = spark.createDataFrame([(i, v) for i, v in enumerate(x.tolist())], "id long, v array<double>")
+    got = {(g.query_id, g.vec_id) for g in additive_ann.nearest(rows, rows.where("id % 20 = 0"), 20, measure, reranked=20).collect()}
+    q = np.arange(0, 3000, 20)
+    score = x[q] @ x.T if measure == "ip" else -((x[q, None] - x[None]) ** 2).sum(2)
+    score[np.arange(len(q)), q] = -np.inf
+    want = {(int(a), int(b)) for a, near in zip(q, np.argsort(-score, axis=1)[:, :20], strict=True) for b in near}
+    assert len(got & want) >= 0.95 * len(want)

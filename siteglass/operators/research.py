@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import re
+from functools import partial
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -14,10 +15,10 @@ from ..functions.instructions import instruction_families
 FLAG = "hidden_ai_instructions"
 
 
-def extracted(pages: DataFrame) -> DataFrame:
+def extracted(pages: DataFrame, closed: bool = False) -> DataFrame:
     """pages (page_id, url, html) with title, h1, headings, text, table, faq, sources; hidden_count and hidden_chars of text that is kept from view, its
-    families of instructions, and review_flags. Whole texts; html goes."""
-    read = markup.read(pages, markup.research, markup.RESEARCH)
+    families of instructions, and review_flags. Whole texts; html goes. closed: only references that end in a semicolon are decoded."""
+    read = markup.read(pages, partial(markup.research, closed=closed), markup.RESEARCH)
     return read.withColumns({
         "hidden_count": F.size("hidden"),
         "hidden_chars": F.aggregate("hidden", F.lit(0), lambda n, x: n + F.length(x)),
@@ -39,6 +40,6 @@ def names_site(text: Column, site: str) -> Column:
     return F.coalesce(F.regexp_like(rest, F.lit(host)), F.lit(False))
 
 
-def seen(pages: DataFrame, site: str) -> DataFrame:
+def seen(pages: DataFrame, site: str, closed: bool = False) -> DataFrame:
     """pages without html, with text (outside of code, titles and forms) and seen: whether that text names the site."""
-    return markup.read(pages, markup.answer, markup.ANSWER).withColumn("seen", names_site(F.col("text"), site))
+    return markup.read(pages, partial(markup.answer, closed=closed), markup.ANSWER).withColumn("seen", names_site(F.col("text"), site))

@@ -49,7 +49,7 @@ def _sites(spark: SparkSession, sf_dir: str, shift: int = 0) -> DataFrame:
 
 def _audit(spark: SparkSession, sf_dir: str, shift: int = 0) -> tuple[DataFrame, DataFrame]:
     sites = _sites(spark, sf_dir, shift)
-    facts = catalogue.page_facts(crawl.records(crawled(spark, sf_dir)), site_of(F.col("url")))
+    facts = catalogue.page_facts(crawl.records(crawled(spark, sf_dir), closed=True), site_of(F.col("url")))
     quality = sites.select("site", *[f.split()[0] for f in catalogue.QUALITY.split(", ")])
     return catalogue.audit(facts, sites, quality), sites
 

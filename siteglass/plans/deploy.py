@@ -37,7 +37,7 @@ def _shown(checks: DataFrame) -> DataFrame:
 
 
 def _live(spark: SparkSession, sf_dir: str) -> DataFrame:
-    read = crawl.records(crawled(spark, sf_dir)).withColumns({"site": site_of(F.col("url")), "noindex": ~crawl.indexable()})
+    read = crawl.records(crawled(spark, sf_dir), closed=True).withColumns({"site": site_of(F.col("url")), "noindex": ~crawl.indexable()})
     columns = ["site", "page_id", "url", "final_url", "status", "noindex", "title", "description", "canonical", "directives", "jsonld_blocks", "jsonld_invalid", "text_chars", "naver_verified"]
     return kept(read.select(*columns), "live")
 

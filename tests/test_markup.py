@@ -114,3 +114,10 @@ def test_start_pages_and_what_they_lead_to_are_reached(spark):
     rows = [(1, "https://e.com/", "https://e.com/home", 200, None, True, ""), (2, "https://e.com/home", None, 200, None, True, "<a href=/c>c</a>"), (3, "https://e.com/old", "https://e.com/c", 200, None, True, ""), (4, "https://e.com/alone", None, 200, None, True, "<a href=/alone>self</a>"), (5, "https://f.com", None, 200, None, True, None)]
     got = {r["page_id"]: r["linked"] for r in crawl.linked(crawl.records(spark.createDataFrame(rows, CRAWL))).collect()}
     assert got == {1: True, 2: True, 3: True, 4: False, 5: True}
+
+
+def test_closed_references_alone_are_decoded():
+    html = '<title>a &amp</title><h1>x &amp;&copy &copy; &#65; &#66 &nope;</h1><a href="/?a&copy=1&amp;b">R&D</a><script type="application/ld+json">{"@type": "A&ampB"}</script>'
+    r = record(html, closed=True)
+    assert (r["title"], r["h1"], r["refs"], r["jsonld_types"]) == ("a &amp", ["x &&copy © A &#66 &nope;"], ["/?a&copy=1&b"], ["A&ampB"]) and r["text"].endswith("R&D")
+    assert record(html)["title"] == "a &" and research(html, closed=True)["title"] == "a &amp" and markup.answer("b &amp", closed=True)["text"] == "b &amp"

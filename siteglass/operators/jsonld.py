@@ -48,7 +48,7 @@ def _walk(node: object, pointer: str, parent: str, key: str, types: list[str]) -
 
 
 def leaves(blocks: DataFrame, id: str, column: str) -> DataFrame:
-    """The leaves of JSON blocks (id, column)."""
+    """The leaves of JSON blocks (id, column). There are many for each block, which Spark cannot know, so joins with them are merged and never broadcast."""
     names = [f.split()[0] for f in LEAF.split(", ")]
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -64,7 +64,7 @@ def leaves(blocks: DataFrame, id: str, column: str) -> DataFrame:
                 kinds = (pa.int64(), *[pa.string()] * 5, pa.list_(pa.string()))
                 yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), kinds, strict=True)], names)
 
-    return blocks.select(F.col(id).cast("long").alias("id"), F.col(column).cast("string").alias("block")).mapInArrow(work, LEAF)
+    return blocks.select(F.col(id).cast("long").alias("id"), F.col(column).cast("string").alias("block")).mapInArrow(work, LEAF).hint("merge")
 
 
 def type_counts(found: DataFrame) -> DataFrame:

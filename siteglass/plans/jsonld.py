@@ -73,7 +73,7 @@ ORACLES["j13_nearest"] = "SELECT p_partkey AS a_id, p_partkey AS b_id, (p_partke
 def j2n6_identities(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Products of one name and price are one thing, whatever their ratings."""
     who = jsonld.identities(_products(spark, sf_dir)).withColumnRenamed("id", "p_partkey")
-    return who.join(table(spark, sf_dir, "part"), "p_partkey").groupBy("identity").agg(F.min("p_name").alias("name"), F.count("*").alias("blocks")).select("name", "blocks")
+    return who.join(table(spark, sf_dir, "part").hint("merge"), "p_partkey").groupBy("identity").agg(F.min("p_name").alias("name"), F.count("*").alias("blocks")).select("name", "blocks")
 
 
 @query("SELECT p_partkey AS id, '/offers/0/price' AS pointer, p_partkey % 2 = 0 AS visible FROM part")

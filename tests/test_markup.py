@@ -121,3 +121,19 @@ def test_closed_references_alone_are_decoded():
     r = record(html, closed=True)
     assert (r["title"], r["h1"], r["refs"], r["jsonld_types"]) == ("a &amp", ["x &&copy © A &#66 &nope;"], ["/?a&copy=1&b"], ["A&ampB"]) and r["text"].endswith("R&D")
     assert record(html)["title"] == "a &" and research(html, closed=True)["title"] == "a &amp" and markup.answer("b &amp", closed=True)["text"] == "b &amp"
+
+
+def test_records_of_few_pages_are_held_at_once(spark):
+    def fold(x):
+        import builtins
+        import weakref
+
+        class Held(dict):
+            __hash__ = object.__hash__
+
+        live = builtins.__dict__.setdefault("_held_records", weakref.WeakSet())
+        live.add(out := Held(n=len(live)))
+        return out
+
+    got = markup.read(spark.range(2000).coalesce(1).selectExpr("id", "'x' AS html"), fold, "n int")
+    assert got.count() == 2000 and got.agg(F.max("n")).first()[0] <= 2 * 64

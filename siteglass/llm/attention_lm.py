@@ -9,9 +9,8 @@ overlap and every token is scored once. Before a text stands a beginning, after
 A slot's probability is that of its cluster times that of the slot in the cluster, both from what attention finds.
 Counted frequencies of all training texts, summed by a shuffle, are only where the output's biases begin.
 
-The model is fitted by rounds of local steps: a hash deals a share of the windows of all training texts, of any
-length (SHARE of them, or LEAST_WINDOWS where that is more), to ROUNDS rounds and, in each, to parts of about
-PART_WINDOWS windows; every part makes a pass of Adam steps (over few windows, more passes) from the round's common parameters, and the round
+The model is fitted by rounds of local steps: a hash deals all windows of all training texts, of any
+length, to ROUNDS rounds and, in each, to parts of about PART_WINDOWS windows; every part makes a pass of Adam steps (over few windows, more passes) from the round's common parameters, and the round
 ends with the mean of what its parts found. Parts grow in number with the input, and the driver holds arrays of the model's size only.
 Word counts for the base score cover all training texts too: tasks count words by 64-bit hash, the counts are summed by a
 shuffle, and a word's count is looked up in a bounded table of the most frequent words or, for all others, by a shuffled join.
@@ -33,17 +32,15 @@ import sentencepiece
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import checked_broadcast, drop, table, text_batches, written
+from .common import checked_broadcast, table, text_batches, written
 from .sentencepiece_bpe import model_path, vocabulary
 from .wordhash import U, mix, text_slices, word_spans, words
 
 HEAD, CLUSTERS = 1023, 32
 WIDTH, SEEN, SCORED = 32, 6, 18
-BATCH, RATE = 128, 0.01
-#: Of the fit: share of windows, windows up to which all take part, rounds, windows of a part, tasks that take the mean, and
-#: the least steps of a part, which passes over few windows again.
-SHARE, LEAST_WINDOWS = 1 / 16, 128_000
-ROUNDS, PART_WINDOWS, MEAN_TASKS, LEAST_STEPS = 5, 32_000, 4, 200
+BATCH, RATE = 256, 0.01
+#: Of the fit: rounds, windows of a part, tasks that take the mean, and the least steps of a part, which passes over few windows again.
+ROUNDS, PART_WINDOWS, MEAN_TASKS, LEAST_STEPS = 5, 64_000, 4, 200
 #: Words in the table that every task holds.
 FREQUENT_WORDS = 400_000
 SLOTS = HEAD + 1
@@ -106,6 +103,28 @@ def _ones(n: int) -> np.ndarray:
     return np.ones(n, np.float32)
 
 
+def _added_up(at: np.ndarray, rows: np.ndarray, n: int) -> np.ndarray:
+    """The sums of the rows that go to each of n places."""
+    order = np.argsort(at.astype(np.uint16), kind="stable")
+    own = at[order]
+    first = np.flatnonzero(np.concatenate([[True], own[1:] != own[:-1]]))
+    out = np.zeros((n, rows.shape[1]), np.float32)
+    out[own[first]] = np.add.reduceat(rows.take(order, 0), first, axis=0)
+    return out
+
+
+def _softmax(h: np.ndarray, weights: np.ndarray, bias: np.ndarray, wanted: np.ndarray, row: np.ndarray, ok: np.ndarray) -> tuple[np.ndarray, float]:
+    """(gradient of the loss in the scores, loss) of a softmax over h @ weights + bias that should give what is wanted, at rows that are ok."""
+    z = h @ weights
+    z += bias
+    np.exp(np.minimum(z, LARGE, out=z), out=z)
+    z /= (z @ _ones(z.shape[1]))[:, None]
+    loss = -(ok @ np.log(z[row, wanted] + 1e-30))
+    z[row, wanted] -= 1
+    z *= ok[:, None]
+    return z, loss
+
+
 class Attention:
     """The parameters, and what is derived from them for scoring."""
 
@@ -113,6 +132,7 @@ class Attention:
         rng = np.random.default_rng(seed)
         r = lambda *s: (rng.standard_normal(s) * 0.1).astype(np.float32)
         self.slot_of, self.tail = slot_of, tail  # slot of each id; natural log of an id's share of the last slot, else 0
+        self.fitted_windows = 0  # how many windows the rounds of the fit have taken
         self.p = {"e": r(SLOTS + 2, WIDTH), "q": r(WIDTH, WIDTH), "k": r(WIDTH, WIDTH), "v": r(WIDTH, WIDTH), "near": np.zeros(SEEN + SCORED, np.float32), "c": r(WIDTH, CLUSTERS), "cb": np.zeros(CLUSTERS, np.float32), "w": r(CLUSTERS, WIDTH, PER), "wb": np.zeros((CLUSTERS, PER), np.float32)}
         at = np.arange(SEEN + SCORED)
         self.distance = (np.arange(SCORED) + SEEN)[:, None] - at[None, :]
@@ -137,13 +157,16 @@ class Attention:
 
     def hidden(self, x: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         pad = np.where(x == SLOTS + 1, np.float32(-1e9), np.float32(0))[:, None, :]
-        a = self.eq[x[:, SEEN:]] @ self.ek[x].transpose(0, 2, 1)
+        late = x[:, SEEN:]
+        a = self.eq.take(late, 0) @ self.ek.take(x, 0).transpose(0, 2, 1)
         a += self.bias
         if pad.any():
             a += pad
         np.exp(np.minimum(a, LARGE, out=a), out=a)
         a /= (a @ _ones(a.shape[2]))[:, :, None] + np.float32(1e-30)
-        return a, self.p["e"][x[:, SEEN:]] + a @ self.ev[x]
+        h = a @ self.ev.take(x, 0)
+        h += self.p["e"].take(late, 0)
+        return a, h
 
     def log_probability(self, x: np.ndarray, y: np.ndarray) -> np.ndarray:
         """Natural log of the probability of each slot of y, in windows."""
@@ -176,43 +199,38 @@ class Attention:
         g = {k: np.zeros_like(v) for k, v in p.items()}
         self.prepare()
         a, h3 = self.hidden(x)
-        h, y = h3.reshape(-1, WIDTH), y.ravel()
-        cluster, inside, row = y // PER, y % PER, np.arange(y.size)
-        z = h @ p["c"] + p["cb"]
-        z -= z.max(1, keepdims=True)
-        z = np.exp(z)
-        z /= z.sum(1, keepdims=True)
-        loss = -(ok * np.log(z[row, cluster] + 1e-30)).sum()
-        z[row, cluster] -= 1
-        z *= ok[:, None]
-        g["c"], g["cb"] = h.T @ z, z.sum(0)
+        y = y.ravel()
+        cluster = y // PER
+        # positions in the order of their clusters, so that a cluster's are a slice
+        order = np.argsort(cluster.astype(np.uint8), kind="stable")
+        h, ok, cluster, inside, row = h3.reshape(-1, WIDTH)[order], ok[order], cluster[order], y[order] % PER, np.arange(y.size)
+        ends = np.searchsorted(cluster, np.arange(CLUSTERS + 1)).tolist()
+        z, loss = _softmax(h, p["c"], p["cb"], cluster, row, ok)
+        g["c"], g["cb"] = h.T @ z, _ones(len(z)) @ z
         dh = z @ p["c"].T
-        for c in np.unique(cluster):
-            rows = np.flatnonzero(cluster == c)
-            z = h[rows] @ p["w"][c] + p["wb"][c]
-            z -= z.max(1, keepdims=True)
-            z = np.exp(z)
-            z /= z.sum(1, keepdims=True)
-            loss -= (ok[rows] * np.log(z[np.arange(len(rows)), inside[rows]] + 1e-30)).sum()
-            z[np.arange(len(rows)), inside[rows]] -= 1
-            z *= ok[rows, None]
-            g["w"][c], g["wb"][c] = h[rows].T @ z, z.sum(0)
-            dh[rows] += z @ p["w"][c].T
-        dh = dh.reshape(h3.shape)
-        late = x[:, SEEN:]
-        dv = a.transpose(0, 2, 1) @ dh
-        da = dh @ self.ev[x].transpose(0, 2, 1)
-        da = a * (da - (da * a).sum(2, keepdims=True))
+        for c, (i, j) in enumerate(zip(ends, ends[1:], strict=False)):
+            if i < j:
+                z, more = _softmax(h[i:j], p["w"][c], p["wb"][c], inside[i:j], row[: j - i], ok[i:j])
+                loss += more
+                g["w"][c], g["wb"][c] = h[i:j].T @ z, _ones(j - i) @ z
+                dh[i:j] += z @ p["w"][c].T
+        back = np.empty_like(dh)
+        back[order] = dh
+        dh = back.reshape(h3.shape)
+        late, s = x[:, SEEN:], np.float32(WIDTH**0.5)
+        xk, xv, xq = self.ek.take(x, 0), self.ev.take(x, 0), self.eq.take(late, 0)
+        dv = (a.transpose(0, 2, 1) @ dh).reshape(-1, WIDTH)
+        da = dh @ xv.transpose(0, 2, 1)
+        da -= (da * a) @ _ones(a.shape[2])[:, None]
+        da *= a
         np.add.at(g["near"], self.distance, da.sum(0))
-        dq, dk = da @ self.ek[x], da.transpose(0, 2, 1) @ self.eq[late]
-        teq, tek, tev = (np.zeros_like(self.eq) for _ in range(3))
-        np.add.at(g["e"], late.ravel(), dh.reshape(-1, WIDTH))
-        np.add.at(teq, late.ravel(), dq.reshape(-1, WIDTH))
-        np.add.at(tek, x.ravel(), dk.reshape(-1, WIDTH))
-        np.add.at(tev, x.ravel(), dv.reshape(-1, WIDTH))
-        s = np.float32(WIDTH**0.5)
-        g["e"] += teq @ p["q"].T / s + tek @ p["k"].T + tev @ p["v"].T
-        g["q"], g["k"], g["v"] = p["e"].T @ teq / s, p["e"].T @ tek, p["e"].T @ tev
+        dq, dk = (da @ xk).reshape(-1, WIDTH), (da.transpose(0, 2, 1) @ xq).reshape(-1, WIDTH)
+        each, before = p["e"].take(x.ravel(), 0), p["e"].take(late.ravel(), 0)
+        g["q"], g["k"], g["v"] = before.T @ dq / s, each.T @ dk, each.T @ dv
+        de = (dk @ p["k"].T + dv @ p["v"].T).reshape(*x.shape, WIDTH)
+        de[:, SEEN:] += dh
+        de[:, SEEN:] += (dq @ (p["q"].T / s)).reshape(dh.shape)
+        g["e"] = _added_up(x.ravel(), de.reshape(-1, WIDTH), len(p["e"]))
         return float(loss) / n, {k: v / np.float32(n) for k, v in g.items()}
 
     def sequence(self, texts_ids: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
@@ -332,8 +350,8 @@ def _summed(texts: DataFrame, size: int) -> np.ndarray:
     return out
 
 
-def fitted(texts: DataFrame, n_ids: int, rounds: int = ROUNDS, share: float = SHARE, least: int = LEAST_WINDOWS, part_windows: int = PART_WINDOWS) -> Attention:
-    """The model of all texts (copy, ids, times): frequencies of all of them, and passes over a share of their windows."""
+def fitted(texts: DataFrame, n_ids: int, rounds: int = ROUNDS, part_windows: int = PART_WINDOWS) -> Attention:
+    """The model of all texts (copy, ids, times): frequencies of all of them, and passes over all their windows, each window in one round."""
     spark = texts.sparkSession
     count = _summed(texts, n_ids)
     m = untrained(count[:-1])
@@ -345,36 +363,30 @@ def fitted(texts: DataFrame, n_ids: int, rounds: int = ROUNDS, share: float = SH
         m.prepare()
         return m
     layout = spark.sparkContext.broadcast(m)
-    part = min(1.0, max(share, least / windows))
-    below, parts = U(int(part * (2**32 - 1))), max(1, round(part * windows / rounds / part_windows))
-    cells, wide = rounds * parts, SEEN + SCORED + 1
-
-    def deal(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            copies, done = b.column(0).to_numpy(zero_copy_only=False).view(U), 0
-            for ids, _ in _ids_of(b.column(1)):
-                slots, starts, text, valid = layout.value.sequence(ids)
-                nth = np.arange(len(text)) - np.searchsorted(text, text)
-                h = mix(copies[done + text] + mix(nth.astype(U) + U(1)))
-                done += len(ids)
-                taken = np.flatnonzero((h & U(2**32 - 1)) <= below)
-                cell = ((h[taken] >> U(32)) % U(cells)).astype(np.int64)
-                taken, cell = taken[np.argsort(cell, kind="stable")], np.sort(cell)
-                edge = np.searchsorted(cell, np.arange(cells + 1))
-                rows = []
-                for k in np.flatnonzero(np.diff(edge)):
-                    own = taken[edge[k] : edge[k + 1]]
-                    x = slots[starts[own, None] + np.arange(wide)].astype(np.int16)
-                    rows.append((int(k) % rounds, int(k) // rounds, np.concatenate([x, valid[own, None].astype(np.int16)], axis=1).tobytes()))
-                if rows:
-                    yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), (pa.int32(), pa.int32(), pa.binary()), strict=True)], ["round", "part", "windows"])
-
-    dealt = written(texts.select("copy", "ids").mapInArrow(deal, "round int, part int, windows binary"), "windows")
+    parts, wide = max(1, round(windows / rounds / part_windows)), SEEN + SCORED + 1
     names = list(m.p)
 
     for t in range(rounds):
         params = spark.sparkContext.broadcast(m.p)
 
+        def deal(batches: Iterator[pa.RecordBatch], t=t) -> Iterator[pa.RecordBatch]:
+            for b in batches:
+                copies, done = b.column(0).to_numpy(zero_copy_only=False).view(U), 0
+                for ids, _ in _ids_of(b.column(1)):
+                    slots, starts, text, valid = layout.value.sequence(ids)
+                    nth = np.arange(len(text)) - np.searchsorted(text, text)
+                    h = mix(copies[done + text] + mix(nth.astype(U) + U(1)))
+                    done += len(ids)
+                    own = np.flatnonzero((h >> U(32)) % U(rounds) == t)
+                    part = (h[own] & U(2**32 - 1)) % U(parts)
+                    order = np.argsort(part, kind="stable")
+                    own, part = own[order], part[order].astype(np.int32)
+                    edge = np.flatnonzero(np.diff(part, prepend=-1, append=parts)).astype(np.int32)
+                    x = slots[starts[own, None] + np.arange(wide)].astype(np.int16)
+                    raw = np.concatenate([x, valid[own, None].astype(np.int16)], axis=1)
+                    lists = pa.Array.from_buffers(pa.binary(), len(edge) - 1, [None, pa.py_buffer(edge * np.int32(2 * wide + 2)), pa.py_buffer(raw.tobytes())])
+                    yield pa.RecordBatch.from_arrays([pa.array(part[edge[:-1]]), lists], ["part", "windows"])
+
         def steps(batches: Iterator[pa.RecordBatch], params=params, t=t) -> Iterator[pa.RecordBatch]:
             held: dict[int, list[bytes]] = {}
             for b in batches:
@@ -397,17 +409,18 @@ def fitted(texts: DataFrame, n_ids: int, rounds: int = ROUNDS, share: float = SH
                 yield pa.RecordBatch.from_arrays([pa.array([n], pa.int64()), pa.array([total.tobytes()], pa.binary())], ["n", "sums"])
 
         kind = "n long, sums binary"
-        own = dealt.where(F.col("round") == t).select("part", "windows").repartition(parts, "part")
+        own = texts.select("copy", "ids").mapInArrow(deal, "part int, windows binary").repartition(parts, "part")
         rows = own.mapInArrow(steps, kind).repartition(MEAN_TASKS).mapInArrow(added, kind).collect()  # at most MEAN_TASKS rows
         params.destroy()
         if not rows:
             continue
-        mean = sum(np.frombuffer(bytes(r.sums)) for r in sorted(rows)) / sum(r.n for r in rows)
+        n = sum(r.n for r in rows)
+        mean = sum(np.frombuffer(bytes(r.sums)) for r in sorted(rows)) / n
+        m.fitted_windows += n
         at = 0
         for k in names:
             m.p[k] = mean[at : at + m.p[k].size].reshape(m.p[k].shape).astype(np.float32)
             at += m.p[k].size
-    drop(dealt)
     layout.unpersist()
     m.prepare()
     return m

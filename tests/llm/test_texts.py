@@ -8,6 +8,7 @@ from collections import Counter
 
 import duckdb
 import pytest
+from pyspark.sql import functions as F
 
 from siteglass.llm import attention_lm, curriculum, ngram_join, sentencepiece_bpe, suffix_dedup, toxicity
 from siteglass.llm.common import table
@@ -276,6 +277,34 @@ def test_language_model_learns_from_texts_of_any_length_and_number(spark):
     assert got[new[0]] > -0.5 > got[new[1]]
 
 
+def test_language_model_is_fitted_on_every_window(spark):
+    """More windows than the former bound (128,000, or 1/16 of them) take part, each once; a long text has several."""
+    ids = F.expr("unhex(substring('0A000B000C000D00', 1, CAST(4 * (id % 4) + 4 AS INT)))")
+    rows = spark.range(140_000).select(F.xxhash64("id").alias("copy"), ids.alias("ids"), F.lit(1).cast("long").alias("times"))
+    rows = rows.unionByName(spark.range(1).select(F.lit(7).cast("long").alias("copy"), F.expr("unhex(repeat('0A00', 180))").alias("ids"), F.lit(1).cast("long").alias("times")))
+    assert attention_lm.fitted(rows, 20).fitted_windows == 140_000 + 11
+
+
+def test_gradients_follow_differences_of_the_loss():
+    import numpy as np
+
+    L, rng = attention_lm, np.random.default_rng(4)
+    m = L.train([rng.integers(0, 2000, 60).astype(np.uint16) for _ in range(40)], 3000, steps=20)
+    slots, starts, _, valid = m.sequence([rng.integers(0, 2000, 90).astype(np.uint16)])
+    x, y = m.inputs(slots, starts)
+    ok = np.arange(L.SCORED) < valid[:, None]
+    y = np.where(ok, y, 0)
+    g = m.gradients(x, y, ok)[1]
+    for name, own in g.items():
+        way = (own / np.abs(own).max()).astype(np.float32)
+        here, loss = m.p[name], []
+        for step in (0.01, -0.01):
+            m.p[name] = here + np.float32(step) * way
+            loss.append(m.gradients(x, y, ok)[0])
+        m.p[name] = here
+        assert (loss[0] - loss[1]) / 0.02 == pytest.approx(float((own * way).sum()), rel=0.03, abs=1e-4)
+
+
 def test_attention_learns_what_pairs_do_not_show():
     """Ids that follow from the one two places back: counts of neighbours say nothing about them, attention must find it."""
     import numpy as np

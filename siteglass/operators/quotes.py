@@ -20,21 +20,46 @@ from ..sources.scratch import kept
 WIDTHS = (12, 6, 3, 1)
 #: Bits of the bitmap, and of a piece of it.
 BITS, PIECE = 1 << 27, 1 << 19
+#: Bytes of texts whose grams are hashed at once.
+SLICE = 1 << 20
 #: Longest quote of an entry.
 MOST_QUOTE = 1000
 
 
-def _grams(raw: bytes, width: int) -> np.ndarray:
-    """Hashes of all runs of width bytes, in order."""
-    data = np.frombuffer(raw, np.uint8).astype(np.uint64)
-    n = len(data) - width + 1
-    h = np.full(max(n, 0), 0x9E3779B97F4A7C15 + width, np.uint64)
-    for i in range(width if n > 0 else 0):
-        h = (h ^ data[i : i + n]) * np.uint64(0xBF58476D1CE4E5B9)
-        h ^= h >> np.uint64(29)
+def _joined(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    h = (a * np.uint64(0x9E3779B97F4A7C15)) ^ b
+    h *= np.uint64(0xBF58476D1CE4E5B9)
+    h ^= h >> np.uint64(29)
     return h
 
 
+def _all_grams(data: np.ndarray) -> dict[int, np.ndarray]:
+    """Hashes of all runs of each width in bytes, in order; a run's is made of those of its parts."""
+    one = _joined(data.astype(np.uint64) + np.uint64(1), np.uint64(0x94D049BB133111EB))
+    two = _joined(one[:-1], one[1:])
+    three = _joined(two[:-1], one[2:])
+    six = _joined(three[:-3], three[3:])
+    return {12: _joined(six[:-6], six[6:]), 6: six, 3: three, 1: one}
+
+
+def _grams(raw: bytes, width: int) -> np.ndarray:
+    return _all_grams(np.frombuffer(raw, np.uint8))[width]
+
+
+def _slices(raws: pa.Array) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
+    """(first row, bytes, offsets from 0) of runs of rows of at most SLICE bytes, or one row."""
+    raws = raws.cast(pa.large_binary())
+    if not len(raws) or raws.buffers()[2] is None:
+        return
+    off = np.frombuffer(raws.buffers()[1], np.int64)[raws.offset : raws.offset + len(raws) + 1]
+    data = np.frombuffer(raws.buffers()[2], np.uint8)
+    a = 0
+    while a < len(raws):
+        b = max(a + 1, int(np.searchsorted(off, off[a] + SLICE, "right")) - 1)
+        yield a, data[off[a] : off[b]], off[a : b + 1] - off[a]
+        a = b
+
+
 def _width(n: int) -> int:
     return next(w for w in WIDTHS if n >= w)
 
@@ -81,13 +106,19 @@ def containing(quotes: DataFrame, texts: DataFrame) -> DataFrame:
     def survivors(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         bitmap = bits.value
         for b in batches:
-            for source, raw in zip(b.column(0), b.column(1).to_pylist(), strict=True):
+            for first, data, off in _slices(b.column(1)):
+                row = np.repeat(np.arange(len(off) - 1), np.diff(off))
+                left = off[1:][row] - np.arange(len(data))  # bytes up to the text's end
+                grams = _all_grams(data)
                 for width in widths:
-                    gram = _grams(raw, width)
+                    gram = grams[width]
                     at = (gram.view(np.int64) % BITS).astype(np.int64)
-                    gram = np.unique(gram[bitmap[at >> 3] >> (7 - (at & 7)).astype(np.uint8) & 1 == 1])
-                    if len(gram):
-                        yield pa.RecordBatch.from_arrays([pa.array([source.as_py()] * len(gram), source.type), pa.array(np.full(len(gram), width, np.int32)), pa.array(gram.view(np.int64))], ["source_id", "width", "gram"])
+                    hit = np.flatnonzero((left[: len(gram)] >= width) & (bitmap[at >> 3] >> (7 - (at & 7)).astype(np.uint8) & 1 == 1))
+                    # each gram of a text once; of single bytes there are few, of others hits are few
+                    own = row[hit].astype(np.int64) * 256 + data[hit] if width == 1 else _joined(gram[hit], row[hit].astype(np.uint64))
+                    hit = hit[np.unique(own, return_index=True)[1]]
+                    if len(hit):
+                        yield pa.RecordBatch.from_arrays([b.column(0).take(pa.array(first + row[hit])), pa.array(np.full(len(hit), width, np.int32)), pa.array(gram[hit].view(np.int64))], ["source_id", "width", "gram"])
 
     kind = dict(texts.dtypes)["source_id"]
     rows = texts.where("text is not null")

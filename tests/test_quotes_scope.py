@@ -63,6 +63,22 @@ def test_product_evidence(spark):
     assert got[0]["snapshot_sha256"] and not got[1]["snapshot_sha256"]
 
 
+def test_grams_of_many_texts_at_once_are_those_of_each():
+    """A text's grams do not depend on what stands before it."""
+    import numpy as np
+    import pyarrow as pa
+
+    texts = [b"", b"a", b"ab", b"abc" * 9, b"", b"xabcdefghijklmnop"]
+    (first, data, off), = quotes._slices(pa.array(texts))
+    whole = quotes._all_grams(data)
+    assert first == 0
+    for k, t in enumerate(texts):
+        own = quotes._all_grams(np.frombuffer(t, np.uint8))
+        for width in quotes.WIDTHS:
+            assert len(own[width]) == max(0, len(t) - width + 1)
+            assert (own[width] == whole[width][off[k] : off[k] + len(own[width])]).all()
+
+
 def test_terms_are_without_case_and_of_two_characters(spark):
     pages = spark.createDataFrame([(1, "Red STRASSE", None), (2, None, "straße"), (3, "a b", ""), (4, None, None)], "source_id long, title string, h1 string")
     terms = spark.createDataFrame([("i", "Straße"), ("j", "strasse"), ("k", "a"), ("l", " a "), ("m", "d s"), ("n", None), ("i", "red")], "intent string, term string")

@@ -31,7 +31,7 @@ def records(files: DataFrame) -> DataFrame:
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         kinds = (pa.string(), pa.int64(), pa.map_(pa.string(), pa.string()), pa.string())
         for b in batches:
-            for name, raw in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True):
+            for name, raw in ((n.as_py(), c.as_py()) for n, c in zip(b.column(0), b.column(1), strict=True)):  # one file at a time, a batch may be large
                 try:
                     rows = list(csv.DictReader(io.StringIO((raw or b"").decode("utf-8-sig"), newline="")))
                     out = [(name, k, [(c, v or "") for c, v in r.items() if isinstance(c, str)], None) for k, r in enumerate(rows, 2)]

@@ -5,6 +5,7 @@ import tracemalloc
 import pyarrow as pa
 
 from siteglass.llm import suffix_dedup
+from siteglass.sources import forms
 
 FILES = 300
 
@@ -34,6 +35,12 @@ def peak(work, batch):
     return rows, most
 
 
+def test_forms_are_read_one_by_one(spark):
+    form = ("date,query_id,note\r\n" + "2024-01-01,q1,seen\r\n" * 2500).encode()
+    rows, most = peak(forms.records(Table()), pa.RecordBatch.from_arrays([pa.array([str(k) for k in range(FILES)]), pa.array([form] * FILES, pa.binary())], ["file", "content"]))
+    assert rows == FILES * 2500 and most < 10
+
+
 def test_a_block_of_windows_takes_little_memory():
     """Blocks close when they have BLOCK_BYTES; the sorts over one take many times that."""
     import numpy as np

@@ -23,6 +23,8 @@ MOST_URLS, MOST_BYTES = 50_000, 52_428_800
 UNIFORM_ENTRIES, UNIFORM_SHARE = 10, 0.9
 #: An address's element beside the address itself, and the longest address.
 ENTRY, MOST_URL = 40, 8 * 1024
+#: Files whose entries a task holds at once.
+FILES_AT_ONCE = 16
 USUAL = ("/sitemap.xml", "/sitemap_index.xml")
 PARSED = "kind string, entries array<struct<loc:string,lastmod:string>>, bytes long, problem string"
 
@@ -86,7 +88,7 @@ def parsed(answers: DataFrame) -> DataFrame:
     entry = pa.list_(pa.struct([("loc", pa.string()), ("lastmod", pa.string())]))
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
+        for b in (whole.slice(a, FILES_AT_ONCE) for whole in batches for a in range(0, whole.num_rows, FILES_AT_ONCE)):
             read = [(None, [], 0, None) if x is None else parse(x) for x in b.column("content").to_pylist()]
             columns = [pa.array([r[k] for r in read], t) for k, t in enumerate((pa.string(), entry, pa.int64(), pa.string()))]
             yield pa.RecordBatch.from_arrays([*[b.column(c) for c in rest], *columns], [*rest, "kind", "entries", "bytes", "problem"])

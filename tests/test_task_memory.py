@@ -5,6 +5,7 @@ import tracemalloc
 import pyarrow as pa
 
 from siteglass.llm import suffix_dedup
+from siteglass.operators import sitemaps
 from siteglass.sources import forms
 
 FILES = 300
@@ -41,6 +42,13 @@ def test_forms_are_read_one_by_one(spark):
     assert rows == FILES * 2500 and most < 10
 
 
+def test_sitemaps_are_parsed_a_few_at_a_time(spark):
+    content = b"<urlset>" + b"<url><loc>https://e.com/some/page</loc><lastmod>2024-01</lastmod></url>" * 500 + b"</urlset>"
+    answers = [pa.array([str(k) for k in range(FILES)]), pa.array([200] * FILES, pa.int32()), pa.nulls(FILES, pa.string()), pa.array([content] * FILES, pa.binary())]
+    rows, most = peak(sitemaps.parsed(Table()), pa.RecordBatch.from_arrays(answers, Table.columns))
+    assert rows == FILES and most < 10
+
+
 def test_a_block_of_windows_takes_little_memory():
     """Blocks close when they have BLOCK_BYTES; the sorts over one take many times that."""
     import numpy as np

@@ -286,5 +286,8 @@ def from_log(rows: DataFrame, questions: DataFrame) -> DataFrame:
 
 def stale_slots(queue: DataFrame, protocol: DataFrame, key: list[str]) -> DataFrame:
     """(key, state) of slots that queue and protocol do not share: gone from the protocol, or not yet in the queue. None means the queue is current."""
-    a, b = queue.select(*key).distinct(), protocol.select(*key).distinct()
-    return a.join(b, key, "left_anti").withColumn("state", F.lit("gone")).unionByName(b.join(a, key, "left_anti").withColumn("state", F.lit("missing")))
+    both = queue.select(*key, F.lit(True).alias("_queued")).unionByName(protocol.select(*key, F.lit(False).alias("_queued")))
+    # keys with nulls equal nothing, so their sides stay apart
+    empty = F.exists(F.array(*[F.col(k).isNull() for k in key]), lambda x: x)
+    sides = both.withColumn("_own", F.when(empty, F.col("_queued"))).groupBy(*key, "_own").agg(F.bool_and("_queued").alias("_all"), F.bool_or("_queued").alias("_any"))
+    return sides.where(F.col("_all") == F.col("_any")).select(*key, F.when(F.col("_any"), "gone").otherwise("missing").alias("state"))

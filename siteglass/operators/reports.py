@@ -8,12 +8,13 @@ from pyspark.sql import functions as F
 from ..functions import text, urls
 from ..functions.arrow import folded
 from ..functions.stats import rate
+from ..sources.scratch import kept
 from . import crawl, measure, shares
 
 # fixed values: what a cohort is, how far a click rate may be off, days after which a source is old, and gaps that are listed
 COHORT = ("engine", "mode", "surface", "locale", "login", "search_enabled", "model", "campaign_id")
 RATE_TOLERANCE, STALE_DAYS, LISTED_GAPS, TOP = 0.005, 120, 62, 5
-#: Parts into which the pages of a URL or site are dealt when they meet their findings.
+#: Parts into which the pages of a URL or site are dealt when they meet their findings, and sets of domains when they meet their classes.
 PARTS = 64
 
 
@@ -128,14 +129,31 @@ def domain_classes(cited: DataFrame, classes: DataFrame, site: str) -> DataFrame
     return named.join(met, "domain", "left").select("domain", F.when(urls.owned(F.col("domain"), F.lit(site)), "owned").otherwise(F.coalesce("class", F.lit("other"))).alias("class"))
 
 
+def domain_sets(rows: DataFrame) -> DataFrame:
+    """(domains, n): the different sets of domains that runs (seq, cited_urls) cite, and how many runs cite each.
+
+    A run's rows are one window. Windows stream over rows in the order of seq, which a merge join by seq already has; no task holds a table of its runs, and equal sets are counted before they leave it.
+    """
+    own = F.array_compact(F.transform(F.array_distinct("cited_urls"), urls.domain)).alias("own")
+    run = Window.partitionBy("seq")
+    whole = rows.select("seq", own, F.monotonically_increasing_id().alias("row")).select("row", F.min("row").over(run).alias("first"), F.collect_list("own").over(run).alias("all"))
+    return whole.where("row = first").groupBy(F.array_sort(F.array_distinct(F.flatten("all"))).alias("domains")).agg(F.count("*").alias("n"))
+
+
 def channel_domains(rows: DataFrame, classes: DataFrame, site: str) -> DataFrame:
-    """(class, n_runs, domains): runs that cite each class of domains, once each, and the domains that most runs cite, ties to the first name."""
-    cited = shares.cited(rows)
-    each = cited.select("seq", "domain").distinct().join(domain_classes(cited, classes, site), "domain")
-    runs = each.select("seq", "class").distinct().groupBy("class").agg(F.count("*").alias("n_runs"))
-    by = each.groupBy("class", "domain").agg(F.count("*").alias("n"))
+    """(class, n_runs, domains): runs that cite each class of domains, once each, and the domains that most runs cite, ties to the first name.
+
+    Runs count by the set of domains that they cite. Sets are dealt into PARTS, each of which meets all classes of domains, so no domain is one task.
+    """
+    sets = kept(domain_sets(rows), "domain-sets")
+    each = sets.select("domains", "n", F.explode("domains").alias("domain"))
+    by = each.groupBy("domain").agg(F.sum("n").alias("n"))
+    of = kept(domain_classes(by, classes, site), "domain-classes")
+    dealt = of.withColumn("part", F.explode(F.sequence(F.lit(0), F.lit(PARTS - 1))))
+    met = each.withColumn("part", F.pmod(F.xxhash64("domains"), F.lit(PARTS)).cast("int")).join(dealt, ["domain", "part"])
+    runs = met.select("domains", "class", "n").distinct().groupBy("class").agg(F.sum("n").alias("n_runs"))
     place = F.row_number().over(Window.partitionBy("class").orderBy(F.desc("n"), "domain"))
-    top = by.withColumn("place", place).where(F.col("place") <= TOP).groupBy("class").agg(F.transform(F.array_sort(F.collect_list(F.struct("place", "domain"))), lambda x: x["domain"]).alias("domains"))
+    top = by.join(of, "domain").withColumn("place", place).where(F.col("place") <= TOP).groupBy("class").agg(F.transform(F.array_sort(F.collect_list(F.struct("place", "domain"))), lambda x: x["domain"]).alias("domains"))
     return runs.join(top, "class")
 
 

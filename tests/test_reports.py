@@ -3,6 +3,8 @@
 import datetime as d
 from decimal import Decimal
 
+from pyspark.sql import functions as F
+
 from siteglass.operators import reports
 
 
@@ -40,6 +42,17 @@ def test_classes_of_domains_by_their_longest_suffix(spark):
     assert got == {"a.b.com": "press", "x.a.b.com": "press", "b.com": "news", "ab.com": "other", "my.org": "owned", "s.my.org": "owned", "notmy.org": "other"}
 
 
+def test_runs_meet_classes_by_the_sets_of_domains_that_they_cite(spark):
+    """No row of a run goes to the one task of a domain that all runs cite, and rows are read once."""
+    many = spark.range(5000).select(F.col("id").alias("seq"), F.when(F.col("id") % 2 == 0, F.array(F.lit("https://my.org/a"))).otherwise(F.array(F.lit("https://my.org/a"), F.lit("https://x.b.com/"))).alias("cited_urls"))
+    few = spark.createDataFrame([(1, ["http://b.com"]), (1, ["http://x.b.com/2", None]), (2, ["http://c.com", "http://www.my.org:80/"]), (6000, []), (6001, None), (6002, [None])], "seq long, cited_urls array<string>")
+    rows = many.unionByName(few)
+    assert {tuple(r["domains"]): r["n"] for r in reports.domain_sets(rows).collect()} == {("my.org",): 2499, ("my.org", "x.b.com"): 2499, ("b.com", "my.org", "x.b.com"): 1, ("c.com", "my.org"): 1, (): 3}
+    got = reports.channel_domains(rows, spark.createDataFrame([("b.com", "news")], "suffix string, class string"), "my.org")
+    assert sorted(map(tuple, got.collect())) == [("news", 2500, ["x.b.com", "b.com"]), ("other", 1, ["c.com"]), ("owned", 5000, ["my.org"])]
+    assert "Range (" not in got._jdf.queryExecution().optimizedPlan().toString()
+
+
 def test_sites_are_compared_on_their_own_host_and_only_with_a_sitemap(spark):
     listed = spark.createDataFrame([("e.com", "https://e.com/a/"), ("e.com", "https://other.com/x"), ("e.com", "https://e.com/b")], "site string, url string")
     there = spark.createDataFrame([("e.com", "http://e.com/a"), ("e.com", "https://e.com/c"), ("f.com", "https://f.com/")], "site string, url string")

@@ -3,8 +3,9 @@
 import tracemalloc
 
 import pyarrow as pa
+from pyspark.sql import functions as F
 
-from siteglass.llm import suffix_dedup
+from siteglass.llm import common, suffix_dedup
 from siteglass.operators import sitemaps
 from siteglass.sources import forms
 
@@ -61,3 +62,11 @@ def test_a_block_of_windows_takes_little_memory():
     most = tracemalloc.get_traced_memory()[1] / 1e6
     tracemalloc.stop()
     assert found.num_rows == len(rows) and most < 100
+
+
+def test_batches_of_large_rows_are_bounded_by_bytes(spark):
+    common.text_batches(spark)
+    rows = spark.range(0, 100, 1, 1).select(F.repeat(F.lit("x"), 200_000).cast("binary").alias("packed"))
+    found = [r.n for r in rows.mapInArrow(lambda batches: (pa.RecordBatch.from_pylist([{"n": b.nbytes}]) for b in batches), "n long").collect()]
+    assert sum(found) >= 100 * 200_000
+    assert max(found) <= common.TEXT_BATCH_BYTES + 250_000

@@ -78,6 +78,18 @@ def caseless(x: pd.Series) -> pd.Series:
     return x.map(lambda v: None if v is None else v.casefold())
 
 
+@F.pandas_udf(T.StringType())
+def lowered(x: pd.Series) -> pd.Series:
+    """Text in small letters, one character for one whatever stands beside it, as SQL does it: ß and ss stay apart."""
+    return x.map(lambda v: None if v is None else v.replace("\u0130", "i").replace("\u03a3", "\u03c3").lower())
+
+
+@F.pandas_udf(T.StringType())
+def uppered(x: pd.Series) -> pd.Series:
+    """Text in capitals, one character for one; a letter that has no capital of one character stays."""
+    return x.map(lambda v: None if v is None else "".join(u if len(u := c.upper()) == 1 else c for c in v))
+
+
 @F.pandas_udf(T.StringType())
 def address_class(x: pd.Series) -> pd.Series:
     """public, private, loopback, link_local, multicast, reserved or unspecified; null for what is no address. An IPv4 address in IPv6 form counts as itself."""

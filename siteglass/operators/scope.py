@@ -6,6 +6,8 @@ index of rare grams (operators.quotes), never by comparing every term with every
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -23,16 +25,19 @@ def page_key(url: Column) -> Column:
     return F.lower(F.regexp_replace(url, "/+$", ""))
 
 
-def term_hits(pages: DataFrame, terms: DataFrame) -> DataFrame:
-    """(source_id, intent): pages (source_id, title, h1) whose title or first heading holds a term (intent, term) of two characters or more. Terms that many intents share are looked for once."""
-    wanted = terms.where(F.length(F.trim("term")) >= 2).select("intent", caseless(F.col("term")).alias("quote")).distinct()
+def term_hits(pages: DataFrame, terms: DataFrame, without_case: Callable[[Column], Column] = caseless) -> DataFrame:
+    """(source_id, intent): pages (source_id, title, h1) whose title or first heading holds a term (intent, term) of two characters or more. Terms that many intents share are looked for once.
+
+    without_case takes the case from both; the default folds it, so that a term with ss is in a title with ß.
+    """
+    wanted = terms.where(F.length(F.regexp_replace("term", r"^\p{Zs}+|\p{Zs}+$", "")) >= 2).select("intent", without_case(F.col("term")).alias("quote")).distinct()
     wanted = kept(wanted, "terms")
-    said = pages.select("source_id", caseless(F.concat_ws(" ", F.coalesce("title", F.lit("")), F.coalesce("h1", F.lit("")))).alias("text"))
+    said = pages.select("source_id", without_case(F.concat_ws(" ", F.coalesce("title", F.lit("")), F.coalesce("h1", F.lit("")))).alias("text"))
     found = quotes.containing(wanted.select(F.col("quote").alias("quote_id"), "quote").distinct(), said)
     return wanted.join(found.select(F.col("quote_id").alias("quote"), "source_id"), "quote").select("source_id", "intent").distinct()
 
 
-def scoped(pages: DataFrame, questions: DataFrame, explicit: DataFrame, terms: DataFrame, site: str) -> DataFrame:
+def scoped(pages: DataFrame, questions: DataFrame, explicit: DataFrame, terms: DataFrame, site: str, without_case: Callable[[Column], Column] = caseless) -> DataFrame:
     """(source_id, intent, ways): the intents of each page (source_id, url, title, h1, query_ids), and how they are known: by a question that found the page, by an
     own page that was named for an intent (intent, url), or by a term in the title of an own page, which is a candidate and no proof. questions are (query_id, intent).
     """
@@ -40,7 +45,7 @@ def scoped(pages: DataFrame, questions: DataFrame, explicit: DataFrame, terms: D
     by_query = pages.select("source_id", F.explode("query_ids").alias("query_id")).join(questions.select("query_id", "intent"), "query_id").select("source_id", "intent", F.lit("query").alias("way"))
     named = explicit.select("intent", page_key(F.col("url")).alias("key")).distinct()
     by_page = own.select("source_id", page_key(F.col("url")).alias("key")).join(named, "key").select("source_id", "intent", F.lit("page").alias("way"))
-    by_term = term_hits(own, terms).withColumn("way", F.lit("term"))
+    by_term = term_hits(own, terms, without_case).withColumn("way", F.lit("term"))
     ways = F.array_agg("way")
     each = by_query.unionByName(by_page).unionByName(by_term).distinct()
     return each.groupBy("source_id", "intent").agg(F.filter(F.array(*map(F.lit, WAYS)), lambda w: F.array_contains(ways, w)).alias("ways"))

@@ -2,6 +2,7 @@
 
 import random
 
+import duckdb
 import pytest
 from pyspark.sql import functions as F
 
@@ -98,3 +99,18 @@ def test_the_queries_say_something(spark):
     for f, column, values in ((queries.j22_intent_scope, "ways", 3), (queries.j23_page_actions, "action", 2), (queries.j24_comparisons, "role", 4), (queries.s28_product_evidence, "problem", 6), (queries.j27_entries, "problem", 3)):
         assert f(spark, SF).select(column).distinct().count() >= values, f.__name__
     assert queries.j27_quotes_in_texts(spark, SF).count() > 50
+
+
+def test_the_queries_take_case_as_their_sql_does(spark, tmp_path):
+    html = lambda title: f"<title>{title}</title><h1>x</h1>"
+    titles = ["loweiß einpfß", "LOWEISS", "ΟΔΟΣ und Straße", "οδοσ", "die STRASSE WEIß", "İstan", "istan", "\u00a0x"]
+    urls = [f"https://{'www.example.org' if i % 2 else 'shop.example.net'}/weiß/{i}" for i in range(len(titles))]
+    spark.createDataFrame([(i, u, html(t)) for i, (u, t) in enumerate(zip(urls, titles, strict=True))], "page_id long, url string, html string").coalesce(1).write.parquet(f"{tmp_path}/pages.parquet")
+    passages = ["Ist loweiss a und straße", "ΑΣ ss b die strasse", "Σ οδοσ c weiß weiß", "İ İSTAN d strasse weiß", "nbsp \u00a0x e x y", "ΑΣ einpfß f ΟΔΟΣ und"]
+    spark.createDataFrame(list(enumerate(passages)), "item_id long, text string").coalesce(1).write.parquet(f"{tmp_path}/benchmark.parquet")
+    con = duckdb.connect()
+    for t in ("pages", "benchmark"):
+        con.sql(f"create view {t} as select * from '{tmp_path}/{t}.parquet/*.parquet'")
+    for name in ("j22_intent_scope",):
+        got, want = queries.QUERIES[name](spark, str(tmp_path)), con.sql(queries.ORACLES[name])
+        assert sorted(repr(r) for r in want.fetchall()) == sorted(repr(tuple(r)) for r in got.select(want.columns).collect()), name

@@ -77,3 +77,19 @@ def test_pages_and_findings_that_repeat_wait_once_and_only_they_are_made_distinc
     assert sorted(map(tuple, got.collect())) == [("p1", "f1"), ("p1", "f2"), ("p2", "f1"), ("p2", "f2")]
     plan = got._jdf.queryExecution().optimizedPlan().toString()
     assert plan.startswith("Union")
+
+
+def test_rows_of_a_finding_lie_together_and_findings_travel_in_blocks(spark, monkeypatch):
+    monkeypatch.setattr(reports, "BLOCK", 3, raising=False)
+    rows = [(f"p{i}", "page", None, f"u{i % 2}", "s" if i % 3 else None) for i in range(700)] + [(f"f{i}", "finding", "critical", f"u{i % 2}" if i % 5 else None, "s") for i in range(120)]
+    rows += [("f1", "finding", "critical", "u0", "s"), ("f1", "finding", "critical", None, "s"), (None, "finding", "critical", "u0", "s"), (None, "page", None, "u0", None)]
+    got = reports.blocked_by(spark.createDataFrame(rows, "id string, kind string, severity string, url string, site string"))
+    pages, found = ([r for r in rows if r[1] == kind] for kind in ("page", "finding"))
+    want = {(p[0], f[0]) for p in pages for f in found if (f[3] == p[3] if f[3] else f[4] == p[4])}
+    lists = [[tuple(r) for r in part] for part in got.select(F.spark_partition_id().alias("n"), "id", "blocker").groupBy("n").agg(F.collect_list(F.struct("id", "blocker")).alias("x")).toPandas()["x"]]
+    every = [r for part in lists for r in part]
+    assert len(every) == len(want) and set(every) == want
+    # what one part of a key says of one finding is one run, so runs are few next to rows
+    runs = sum(a[1] != b[1] for part in lists for a, b in zip(part, part[1:], strict=False))
+    assert runs < len(every) / 2
+    assert "collect_list" in got._jdf.queryExecution().optimizedPlan().toString()

@@ -15,10 +15,11 @@ from __future__ import annotations
 import hashlib
 import heapq
 import re
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import types as T
 
@@ -27,6 +28,10 @@ from .common import table, text_batches
 SPACE = "▁"
 #: Cuts whose encoding a worker remembers, in each of two generations.
 REMEMBERED = 400_000
+#: Characters of texts whose words are told apart at once.
+SLICE = 1 << 22
+#: Words that are encoded together, and the length from which they are encoded alone.
+TOGETHER, LONGEST = 20_000, 32
 MODEL = "piece_bpe_32k.model"
 
 
@@ -64,6 +69,7 @@ class Vocabulary:
             self.stops, self.by_split = stop, bool(end)
             self.cut = re.compile(f"{SPACE}*[^{SPACE}{end}]+|{SPACE}+" + (f"|{end}" if end else ""))
         self.plain_from = max([*special, *self.byte_of])
+        self._joins: tuple | None = None
         self._new: dict[str, tuple] = {}
         self._old: dict[str, tuple] = {}
 
@@ -135,14 +141,20 @@ class Vocabulary:
                 self._new[cut] = found
         return found
 
+    def _spaced(self, text: str) -> str:
+        """The text with its cuts parted by one space each; empty where that says not all."""
+        if not text or not self.by_split or SPACE in text:
+            return ""
+        spaced = text.replace("\n", " \n")
+        return spaced if "  " not in spaced and spaced[0] != " " and spaced[-1] != " " else ""
+
     def cuts(self, text: str) -> list:
         """Words that follow one space, or a line end and a word, as strings; all else as tuples of one string."""
         if not text:
             return []
-        if self.by_split and SPACE not in text:
-            spaced = text.replace("\n", " \n")
-            if "  " not in spaced and spaced[0] != " " and spaced[-1] != " ":
-                return spaced.split(" ")
+        spaced = self._spaced(text)
+        if spaced:
+            return spaced.split(" ")
         return [(c,) for c in self.cut.findall(SPACE + text.replace(" ", SPACE))]
 
     def encode(self, text: str) -> list[int]:
@@ -181,6 +193,130 @@ class Vocabulary:
         decoded = "".join(decoded)
         return sum(count), ",".join(joined), decoded[1:] if first[0] not in self.byte_of else decoded
 
+    def digests(self, texts: list[str]) -> Iterator[tuple[int, str, str, Callable[[], str]]]:
+        """(number of ids, digest of ids joined by commas, digest of decoded text, ids joined by commas) of each text.
+
+        A slice's words are told apart by Arrow, so that each different one is looked up once; what they become is laid out in the order of the texts.
+        """
+        a = size = 0
+        for b, text in enumerate(texts):
+            if b > a and size + len(text) > SLICE:
+                yield from self._digests(texts[a:b])
+                a, size = b, 0
+            size += len(text)
+        yield from self._digests(texts[a:])
+
+    def _digests(self, texts: list[str]) -> Iterator[tuple[int, str, str, Callable[[], str]]]:
+        spaced = [self._spaced(t) for t in texts]
+        words = pc.split_pattern(pa.array([s for s in spaced if s], pa.large_string()), " ")
+        each = words.flatten().dictionary_encode()
+        distinct = _strings(each.dictionary)
+        self._learn(distinct)
+        get, new = self.remembered, self._new.get
+        found = [new(c) or get(c) for c in distinct]
+        count, joined, decoded, first = zip(*found, strict=True) if found else ((),) * 4
+        at = each.indices.to_numpy()
+        begin = words.offsets.to_numpy().astype(np.int64)
+        count = np.concatenate([[0], np.cumsum(np.array(count, np.int64)[at])])[begin]
+        ids, out = (_parts(pa.array(x, pa.large_string()).take(each.indices), begin) for x in ([f"{j}," for j in joined], decoded))
+        k = 0
+        for s, text in zip(spaced, texts, strict=True):
+            if not s:
+                n, whole, back = self.whole(text)
+                yield n, hashlib.sha256(whole.encode()).hexdigest(), hashlib.sha256(back.encode()).hexdigest(), lambda whole=whole: whole
+                continue
+            own, back = ids(k)[:-1], out(k)
+            if first[at[begin[k]]] not in self.byte_of:
+                back = back[len(bytes(back[:4]).decode(errors="ignore")[:1].encode()) :]
+            yield int(count[k + 1] - count[k]), hashlib.sha256(own).hexdigest(), hashlib.sha256(back).hexdigest(), lambda own=own: bytes(own).decode()
+            k += 1
+
+
+    def _learn(self, cuts: list[str]) -> None:
+        """Remembers those words among cuts that are not yet known, many at a time; what is left is for remembered()."""
+        new, old = self._new, self._old
+        words = dict.fromkeys(c[:-1] if c[-1] in self.stops and c[:-1].isalpha() else c for c in cuts if c not in new and c not in old and c[0] != "\n")
+        fresh = sorted((w for w in words if w not in new and w not in old and len(w) < LONGEST), key=len)
+        for a in range(0, len(fresh), TOGETHER):
+            some = fresh[a : a + TOGETHER]
+            if len(self._new) + len(some) > REMEMBERED:
+                self._old, self._new = self._new, {}
+            self._new.update(self._merged(some))
+
+    def _merged(self, cuts: list[str]) -> dict[str, tuple]:
+        """What remembered() gives for words after a space, by the same agenda: in each round every word's best pair, of equal ones the first, is merged.
+
+        Words with characters outside the vocabulary are left out. Symbols are linked by position, the last column stands for none.
+        """
+        if self._joins is None:
+            joins = {self.ids[p[:k]] * (len(self.pieces) + 2) + self.ids[p[k:]]: (self.scores[p], i) for p, i in self.ids.items() for k in range(1, len(p)) if p[:k] in self.ids and p[k:] in self.ids}
+            keys = np.array(sorted(joins), np.int64)
+            char = np.full(0x110000, -1, np.int32)
+            for p, i in self.ids.items():
+                if len(p) == 1:
+                    char[ord(p)] = i
+            texts = pa.array([f"{i}," for i in range(len(self.pieces))], pa.large_string())
+            self._joins = keys, np.array([joins[k][0] for k in keys.tolist()], np.float64), np.array([joins[k][1] for k in keys.tolist()], np.int32), char, texts
+        keys, scores, pieces, char, texts = self._joins
+        if not len(keys):
+            return {}
+
+        def join(a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+            key = a.astype(np.int64) * (len(self.pieces) + 2) + b
+            at = np.minimum(np.searchsorted(keys, key), len(keys) - 1)
+            return np.where(keys[at] == key, scores[at], -np.inf), pieces[at]
+
+        size = np.array([len(c) + 1 for c in cuts])
+        wide = int(size.max())
+        flat = char[np.frombuffer("".join([SPACE + c for c in cuts]).encode("utf-32-le"), np.uint32)]
+        alive = np.arange(wide) < size[:, None]
+        symbol = np.full((len(cuts), wide + 1), -1, np.int32)
+        symbol[:, :-1][alive] = flat
+        whole = ~((symbol[:, :-1] < 0) & alive).any(1)
+        symbol, alive, size = symbol[whole], alive[whole], size[whole]
+        cuts = [c for c, w in zip(cuts, whole.tolist(), strict=True) if w]
+        if not cuts:
+            return {}
+        rows = np.arange(len(cuts))
+        after = np.tile(np.arange(1, wide + 2, dtype=np.int32), (len(cuts), 1))
+        before = np.tile(np.arange(-1, wide, dtype=np.int32), (len(cuts), 1))
+        after[rows, size - 1] = before[:, 0] = wide
+        best = np.full((len(cuts), wide + 1), -np.inf)
+        to = np.zeros((len(cuts), wide + 1), np.int32)
+        best[:, :-1], to[:, :-1] = join(symbol[:, :-1], symbol[:, 1:])
+        while len(rows):
+            i = best[rows].argmax(1)
+            more = best[rows, i] > -np.inf
+            rows, i = rows[more], i[more]
+            j = after[rows, i]
+            symbol[rows, i], alive[rows, j], best[rows, j] = to[rows, i], False, -np.inf
+            k, h = after[rows, j], before[rows, i]
+            after[rows, i], before[rows, k] = k, i
+            best[rows, i], to[rows, i] = join(symbol[rows, i], symbol[rows, k])
+            best[rows, h], to[rows, h] = join(symbol[rows, h], symbol[rows, i])
+        count = alive.sum(1)
+        begin = np.concatenate([[0], np.cumsum(count)])
+        ids = symbol[:, :-1][alive]
+        said = texts.take(pa.array(ids))
+        off = np.frombuffer(said.buffers()[1], np.int64)[begin].tolist()
+        text = bytes(said.buffers()[2])[: off[-1]].decode()
+        return {c: (n, text[x : y - 1], " " + c, f) for c, n, x, y, f in zip(cuts, count.tolist(), off, off[1:], ids[begin[:-1]].tolist(), strict=False)}
+
+
+def _strings(words: pa.Array) -> list[str]:
+    """Strings without spaces as a list; all are decoded at once, which takes a fifth of the time of to_pylist()."""
+    if not len(words):
+        return []
+    off, data = np.frombuffer(words.buffers()[1], np.int64)[words.offset : words.offset + len(words) + 1], np.frombuffer(words.buffers()[2] or b"", np.uint8)
+    return np.insert(data[off[0] : off[-1]], off[1:-1] - off[0], 32).tobytes().decode().split(" ")
+
+
+def _parts(words: pa.Array, begin: np.ndarray) -> Callable[[int], memoryview]:
+    """The bytes of each run of words, which lie one after the other."""
+    off = np.frombuffer(words.buffers()[1] or bytes(8), np.int64)[words.offset + begin].tolist()
+    data = memoryview(words.buffers()[2] or b"")
+    return lambda k: data[off[k] : off[k + 1]]
+
 
 def _utf8(data: bytes) -> str:
     """Each byte that starts no whole character becomes U+FFFD."""
@@ -224,13 +360,12 @@ def encode_decode(docs: DataFrame, path: str | None = None, text: str = "text",
         v = vocabulary(path)
         for batch in batches:
             n, a, b, lists = [], [], [], []
-            for s in batch.column(batch.schema.names.index(text)).to_pylist():
-                count, joined, decoded = v.whole(s or "")
+            for count, of_ids, of_text, joined in v.digests([s or "" for s in batch.column(batch.schema.names.index(text)).to_pylist()]):
                 n.append(count)
-                a.append(hashlib.sha256(joined.encode()).hexdigest())
-                b.append(hashlib.sha256(decoded.encode()).hexdigest())
+                a.append(of_ids)
+                b.append(of_text)
                 if ids:
-                    lists.append(np.array(joined.split(","), np.int32) if joined else [])
+                    lists.append(np.array(joined().split(","), np.int32) if count else [])
             cols = [batch.column(batch.schema.names.index(x)) for x in names] + [pa.array(n, pa.int64()), pa.array(a, pa.string()), pa.array(b, pa.string())]
             cols += [pa.array(lists, pa.list_(pa.int32()))] if ids else []
             yield pa.RecordBatch.from_arrays(cols, [*names, *[x.name for x in new]])

@@ -382,6 +382,23 @@ def test_encoding_odd_inputs(spark):
     assert sentencepiece_bpe.encode_decode(no_docs(spark)).count() == 0
 
 
+def test_new_words_are_encoded_many_at_a_time_and_as_one_by_one(monkeypatch):
+    r = random.Random(5)
+    words = ["".join(r.choice("thaeinos.,éß") for _ in range(r.choice((1, 2, 3, 7, 12, 30, 45)))) for _ in range(400)] + ["文字", "\U0001f600x", "a\U000e0001", "x\ny", "\n", "aaaaaaa", "ththththth"]
+    texts = [" ".join(r.choice(words) for _ in range(r.choice((1, 2, 30)))) for _ in range(200)]
+    texts += ["", " ", "a  b", " a", "a ", "a\nb", "\na", "a\n", "a\n\nb", "▁a b", "a\x00b", "line one\nline two\n \nend.", "<s> a </s>", "\U000e0001 a"]
+    one, many = (sentencepiece_bpe.Vocabulary(sentencepiece_bpe.model_path()) for _ in range(2))
+    sha = lambda x: hashlib.sha256(x.encode()).hexdigest()
+    want = [(n, sha(ids), sha(back), ids) for n, ids, back in map(one.whole, texts)]
+    for size in (1 << 22, 50):
+        monkeypatch.setattr(sentencepiece_bpe, "SLICE", size, raising=False)
+        assert [(n, a, b, joined()) for n, a, b, joined in many.digests(texts)] == want
+    assert list(many.digests([])) == []
+    fresh, alone = sentencepiece_bpe.Vocabulary(sentencepiece_bpe.model_path()), []
+    monkeypatch.setattr(fresh, "merge", lambda text, merge=fresh.merge: alone.append(text) or merge(text))
+    assert len(list(fresh.digests(["some plain words that nobody merges alone"] * 3))) == 3 and not alone
+
+
 def test_pipeline_stages(spark):
     import corpus_pipeline as p
 
